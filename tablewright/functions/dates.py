@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from .types import is_datetime
 
-# Accepted date patterns beyond ISO, month first as in US order.
+# Accepted date patterns beyond ISO, month first as in US order, each
+# with an optional time.
 DATE_PATTERNS = [
     "yyyy/M/d",
     "M/d/yyyy",
@@ -20,12 +21,12 @@ DATE_PATTERNS = [
     "MMMM d, yyyy",
     "yyyyMMdd",
 ]
-TIME_SUFFIXES = ["", " H:mm", " H:mm:ss"]
-# Years a 64-bit nanosecond timestamp can hold.
+OPTIONAL_TIME = "[ H:mm[:ss]]"
+# Years a 64-bit nanosecond timestamp can hold in full.
 FIRST_YEAR, LAST_YEAR = 1678, 2261
-# No accepted form is longer than this.
+# No accepted form is longer than this or uses other characters.
 LONGEST_DATE = 40
-
+DATE_CHARACTERS = r"^[\p{L}\d ,./:+-]*\d[\p{L}\d ,./:+-]*$"
 ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?\s*(Z|[+-]\d{1,2}:?\d{2})?)?)?)?$"
 
 
@@ -33,20 +34,16 @@ def parse_datetime(text: Column) -> Column:
     """Timestamp read from a string, null where no accepted form fits.
 
     ISO dates (year alone, year-month, date, date and time, optional zone) and the
-    patterns of ``DATE_PATTERNS`` with an optional time are read. The pattern parsers
-    run only on strings that can be a date at all: short and holding a digit.
+    patterns of ``DATE_PATTERNS`` are read. The parsers run only on strings that can
+    be a date at all, so long texts cost one length test.
     """
     trimmed = F.trim(text)
-    iso = F.when(trimmed.rlike(ISO_SHAPE), F.try_to_timestamp(trimmed))
-    others = [
-        F.try_to_timestamp(trimmed, F.lit(pattern + suffix)) for pattern in DATE_PATTERNS for suffix in TIME_SUFFIXES
-    ]
-    parsed = F.coalesce(iso, F.when(~trimmed.rlike(ISO_SHAPE), F.coalesce(*others)))
-    possible = (F.length(trimmed) <= LONGEST_DATE) & trimmed.rlike(r"\d")
-    return F.when(
-        possible & F.year(parsed).between(FIRST_YEAR, LAST_YEAR),
-        parsed,
-    )
+    others = [F.try_to_timestamp(trimmed, F.lit(pattern + OPTIONAL_TIME)) for pattern in DATE_PATTERNS]
+    read = F.when(trimmed.rlike(ISO_SHAPE), F.try_to_timestamp(trimmed)).otherwise(F.coalesce(*others))
+    # The array lets the year test see the value without parsing twice.
+    in_range = F.filter(F.array(read), lambda moment: F.year(moment).between(FIRST_YEAR, LAST_YEAR))
+    possible = (F.length(trimmed) <= LONGEST_DATE) & trimmed.rlike(DATE_CHARACTERS)
+    return F.when(possible, F.get(in_range, F.lit(0)))
 
 
 def as_datetime(column: Column, dtype: T.DataType) -> Column:

@@ -12,8 +12,12 @@ def guarded_ratio(numerator: Column, denominator: Column, guard: float = 1e-6) -
     return F.try_divide(numerator.cast("double"), F.when(b != 0, b) + F.lit(guard))
 
 
-def pair_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows where both are present; null without variance."""
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
-    return F.try_divide(F.covar_samp(x, y), spread)
+def pair_corr(x: Column, y: Column, x_full: bool = False, y_full: bool = False) -> Column:
+    """Pearson correlation over rows where both are present; null without variance.
+
+    A column known to have no gaps needs no test for them; deviations of the other one
+    are then the same expression in many pairs, and Spark computes them once.
+    """
+    x_both = x if y_full else F.when(y.isNotNull(), x)
+    y_both = y if x_full else F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x_both) * F.stddev_samp(y_both))

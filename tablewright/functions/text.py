@@ -29,21 +29,26 @@ def as_text(field: T.StructField) -> Column:
 
 
 def equality_key(field: T.StructField) -> Column:
-    """A short string that is equal exactly when the values are equal."""
-    text = as_text(field)
+    """A short value that is equal exactly when the column's values are equal."""
     if isinstance(field.dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
+        text = as_text(field)
         return F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-    return text
+    return clean_value(field)
 
 
-def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """One string per row that no two different rows share: lengths first, then values."""
-    fields = [df.schema[c] for c in (columns or df.columns)]
-    texts = [as_text(f) for f in fields]
-    lengths = F.concat_ws(",", *[F.coalesce(F.length(t).cast("string"), F.lit("-")) for t in texts])
-    return F.concat_ws("", lengths, F.lit(":"), *texts)
+def digest(*values: Column) -> list[Column]:
+    """128 bits of hash as two longs. Nulls, which the hash skips, are told apart by flags."""
+    flags = [v.isNull() for v in values]
+    return [F.xxhash64(F.lit(seed), *flags, *values).alias(f"digest{seed}") for seed in (1, 2)]
+
 
+def row_digest(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """The digest of whole rows; nested values count by their text."""
+    fields = [df.schema[c] for c in (columns or df.columns)]
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return digest(*[as_text(f) if isinstance(f.dataType, nested) else clean_value(f) for f in fields])
 
-def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
-    return F.sha2(row_text(df, columns), 256)
 
+def digest_text(*values: Column) -> Column:
+    """The digest as 32 hex digits."""
+    return F.concat(*[F.lpad(F.hex(d), 16, "0") for d in digest(*values)])

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import digest_text
+
 TILE_ROWS = 4_096  # about as many rows on either side of a tile
 MAX_PIVOTS = 1_024  # pivots travel to every task: MAX_PIVOTS x dimensions doubles
 ROWS_PER_PIVOT = 2_000
@@ -35,7 +37,7 @@ def as_array(df: DataFrame, name: str) -> Column:
 
 def vector_key(vector: Column) -> Column:
     """A short key that only equal vectors share."""
-    return F.sha2(F.transform(vector, lambda x: x + 0.0).cast("string"), 256)
+    return digest_text(F.transform(vector, lambda x: x + 0.0))
 
 
 def matrix(series: pd.Series) -> np.ndarray:

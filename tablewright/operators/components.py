@@ -21,7 +21,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct()
     nodes = links.select(F.explode(F.array("u", "w")).alias("node")).distinct()
     links = cut_lineage(links.filter("u <> w"), "links")
-    seen = None
     for _ in range(MAX_ROUNDS):
         # Large star: the larger neighbours of each node move to its smallest neighbour.
         both = links.select("u", "w").unionAll(links.select(F.col("w").alias("u"), F.col("u").alias("w")))
@@ -42,11 +41,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         links = cut_lineage(small, "links")
-        state = links.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if seen == state:
-            roots = links.groupBy(F.col("u").alias("node")).agg(F.min("w").alias("root"))
+        if _all_stars(links):
+            roots = links.select(F.col("u").alias("node"), F.col("w").alias("root"))
             return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        seen = state
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none: nothing is left to do."""
+    row = links.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u")).first()
+    if row["n"] != row["u"]:
+        return False
+    ends = links.select(F.col("w").alias("u")).distinct()
+    return links.join(ends, "u", "left_semi").isEmpty()

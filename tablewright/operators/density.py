@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import digest_text
 from ..session import cut_lineage
 from .cells import (
     TILE_ROWS,
@@ -111,7 +112,7 @@ def dbscan(
         raise ValueError("no points to cluster")
     dims = len(keyed.select("v").first()["v"])
     side = eps / dims**0.5 * (1 - 1e-6)
-    box = F.sha2(F.transform("v", lambda x: F.floor(x / F.lit(side))).cast("string"), 256)
+    box = digest_text(F.transform("v", lambda x: F.floor(x / F.lit(side))))
     points = keyed.withColumn("box", box)
     dense = (
         points.groupBy("box")

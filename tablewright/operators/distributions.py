@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import as_text
+from ..functions.types import clean_value
 from .profile import column_stats
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` over all columns, nulls counted as a value."""
-    fields = [df.schema[c] for c in (columns or df.columns)]
-    entries = [F.struct(F.lit(f.name).alias("column"), as_text(f).alias("value")) for f in fields]
-    return df.select(F.inline(F.array(*entries))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def _counts(df: DataFrame, name: str) -> DataFrame:
+    """``(value, n)`` of one column, null counted; only this column is read."""
+    field = df.schema[name]
+    # Values that cannot be compared or grouped as they are (maps) count by their text.
+    value = as_text(field) if field.dataType.typeName() == "map" else clean_value(field)
+    return df.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(df: DataFrame, n: int = 20) -> DataFrame:
     """The ``n`` most frequent values of each column with their share of all rows.
 
-    Ties are ordered by value, null first. The rank is pruned before its shuffle, so
-    a column with a billion distinct values sends ``n`` candidates per task.
+    Ties are ordered by the value's text, null first. Each column keeps only its best
+    candidates per task, so a billion distinct values cost no sort.
     """
-    rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_first("value")))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    top = value_counts(df).withColumn("rank", rank).filter(F.col("rank") <= n)
+    order = [F.desc("n"), F.asc_nulls_first("value")]
+    tops = [
+        _counts(df, f.name)
+        .select(F.lit(f.name).alias("column"), F.col("value").cast("string").alias("value"), "n")
+        .orderBy(*order)
+        .limit(n)
+        for f in df.schema
+    ]
+    rank = F.row_number().over(W.partitionBy("column").orderBy(*order))
+    ranked = reduce(DataFrame.unionAll, tops).withColumn("rank", rank)
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("one", F.lit(1))
     share = F.round(F.try_divide(F.col("n").cast("double"), F.col("rows").cast("double")), 4)
-    # `rows` is one line, so attaching it is a constant, not a product of tables.
-    total = F.broadcast(rows.withColumn("one", F.lit(1)))
+    # `rows` is one line, so the join attaches a constant.
     return (
-        top.withColumn("one", F.lit(1))
-        .join(total, "one")
+        ranked.withColumn("one", F.lit(1))
+        .join(F.broadcast(rows), "one")
         .select("column", "rank", "value", "n", share.alias("share"))
     )
 
@@ -43,14 +54,21 @@ def distribution_report(df: DataFrame, n: int = 20, distinct: str = "exact") ->
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, mode, n)``: the most frequent present value, ties to the smallest.
+    """``(column, mode, n)``: the most frequent present value as text, ties to the smallest.
 
-    Counts are partial sums before the shuffle, and the winner is a plain aggregate, so
-    no task holds all values of a column.
+    Counts merge before the shuffle, and the winner is a plain aggregate, so no task
+    holds all values of a column.
     """
-    counts = value_counts(df, columns).filter(F.col("value").isNotNull())
-    best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("best"))
-    return best.select("column", F.col("best.value").alias("mode"), (-F.col("best.neg")).alias("n"))
+    parts = []
+    for name in columns:
+        present = _counts(df, name).filter(F.col("value").isNotNull())
+        best = present.agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("best"))
+        parts.append(
+            best.filter(F.col("best").isNotNull()).select(
+                F.lit(name).alias("column"), F.col("best.value").cast("string").alias("mode"), (-F.col("best.neg")).alias("n")
+            )
+        )
+    return reduce(DataFrame.unionAll, parts)
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:

@@ -12,8 +12,10 @@ from ..functions.numeric import pair_corr
 from ..functions.types import as_double, clean_value, numeric_columns
 from .quantiles import iqr_bounds
 
-# Expressions per aggregate: beyond this generated code no longer compiles well.
-PAIRS_PER_AGGREGATE = 300
+# Pairs per aggregate: more make generated code too long to be compiled. Very wide
+# tables take longer aggregates, so that the plan keeps at most MAX_AGGREGATES of them.
+PAIRS_PER_AGGREGATE = 12
+MAX_AGGREGATES = 200
 
 
 def _one_row_to_long(row: DataFrame, names: list[str], column: str, value: str) -> DataFrame:
@@ -65,7 +67,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     names = columns or numeric_columns(df)
     full = _full_columns(df, names)
     pairs = list(combinations_with_replacement(names, 2))
-    batches = [pairs[i : i + PAIRS_PER_AGGREGATE] for i in range(0, len(pairs), PAIRS_PER_AGGREGATE)]
+    size = max(PAIRS_PER_AGGREGATE, -(-len(pairs) // MAX_AGGREGATES))
+    batches = [pairs[i : i + size] for i in range(0, len(pairs), size)]
     parts = []
     for batch in batches:
         row = df.agg(

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .profile import sketch_distinct
+
 # Distinct scores per range when scores are ranked for the AUC.
 SCORES_PER_RANGE = 500_000
 MAX_RANGES = 2_000
@@ -117,7 +119,9 @@ def roc_auc(
 
 def _score_edges(df: DataFrame, score: str, scores_per_range: int) -> list[float]:
     """Literal range bounds: where they fall affects balance only, never the result."""
-    distinct = df.agg(F.approx_count_distinct(score).alias("d")).first()["d"]
+    if df.count() <= scores_per_range:
+        return []
+    distinct = df.agg(sketch_distinct(F.col(score)).alias("d")).first()["d"] or 0
     ranges = min(distinct // scores_per_range + 1, MAX_RANGES)
     if ranges <= 1:
         return []

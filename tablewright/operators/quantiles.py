@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.types import as_double
+from .profile import sketch_distinct
 
 # Distinct values one aggregation buffer may hold; sketches err by a few percent.
 SMALL_DISTINCT = 1_000_000
@@ -44,12 +45,16 @@ def quantiles(
     if method != "exact":
         raise ValueError(f"unknown quantile method: {method}")
 
-    sizes = values.agg(
-        *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in index],
-        *[F.count(f"v{i}").alias(f"n{i}") for i in index],
-    ).first()
-    narrow = [i for i in index if sizes[f"d{i}"] <= small_distinct]
-    wide = [i for i in index if sizes[f"d{i}"] > small_distinct]
+    # Few rows cannot hold many values; otherwise sketches tell which columns do.
+    rows = values.count()
+    narrow, wide = list(index), []
+    if rows > small_distinct:
+        sizes = values.agg(
+            *[sketch_distinct(F.col(f"v{i}")).alias(f"d{i}") for i in index],
+            *[F.count(f"v{i}").alias(f"n{i}") for i in index],
+        ).first()
+        narrow = [i for i in index if (sizes[f"d{i}"] or 0) <= small_distinct]
+        wide = [i for i in index if (sizes[f"d{i}"] or 0) > small_distinct]
     result: dict[str, list[float | None]] = {}
     if narrow:
         row = values.agg(*[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in narrow]).first()

@@ -15,17 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import as_text, row_text
+from ..functions.text import as_text, row_digest
 from ..functions.types import clean_value
 
 PREFIX = 4  # hex digits: 65,536 counts per stratum
 MAX_STRATA = 100_000  # cuts are broadcast, so strata must be few
 COPIES_PER_TASK = 100_000
+# Names of working columns, which must not meet a column of the table.
+LABEL, STRATUM, HASH = "__label", "__stratum", "__hash"
 
 
 def hash_key(df: DataFrame, key: str | None, seed: int) -> Column:
     """``md5(seed:key)``; without a key column the whole row is the key."""
-    value = as_text(df.schema[key]) if key else row_text(df)
+    value = as_text(df.schema[key]) if key else F.concat_ws(":", *[d.cast("string") for d in row_digest(df)])
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(value, F.lit(""))))
 
 
@@ -58,29 +60,29 @@ def _find_cuts(base: DataFrame, wanted: Sequence[tuple[int, int, int]], strata:
     """
     spark = base.sparkSession
     counts = strata
-    targets = spark.createDataFrame(list(wanted), "s int, cut int, k bigint")
-    upto = F.sum("n").over(W.partitionBy("s").orderBy("prefix").rowsBetween(W.unboundedPreceding, 0))
+    targets = spark.createDataFrame(list(wanted), f"{STRATUM} int, cut int, k bigint")
+    upto = F.sum("n").over(W.partitionBy(STRATUM).orderBy("prefix").rowsBetween(W.unboundedPreceding, 0))
     spots = (
         counts.withColumn("upto", upto)
-        .join(F.broadcast(targets), "s")
+        .join(F.broadcast(targets), STRATUM)
         .filter((F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto")))
-        .select("s", "cut", "prefix", (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
+        .select(STRATUM, "cut", "prefix", (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
         .collect()
     )
     if not spots:
         return {}
-    spots = spark.createDataFrame(spots, "s int, cut int, prefix string, k bigint")
+    spots = spark.createDataFrame(spots, f"{STRATUM} int, cut int, prefix string, k bigint")
     inside = (
-        base.join(F.broadcast(spots), ["s", "prefix"]).groupBy("s", "cut", "k", "h").agg(F.count(F.lit(1)).alias("n"))
+        base.join(F.broadcast(spots), [STRATUM, "prefix"]).groupBy(STRATUM, "cut", "k", HASH).agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = F.sum("n").over(W.partitionBy("s", "cut").orderBy("h").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("n").over(W.partitionBy(STRATUM, "cut").orderBy(HASH).rowsBetween(W.unboundedPreceding, 0))
     hits = (
         inside.withColumn("upto", upto)
         .filter((F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto")))
-        .select("s", "cut", "h", (F.col("k") - F.col("upto") + F.col("n")).alias("take"), "n")
+        .select(STRATUM, "cut", HASH, (F.col("k") - F.col("upto") + F.col("n")).alias("take"), "n")
         .collect()
     )
-    return {(r["s"], r["cut"]): (r["h"], r["take"], r["n"]) for r in hits}
+    return {(r[STRATUM], r["cut"]): (r[HASH], r["take"], r["n"]) for r in hits}
 
 
 def exact_split(
@@ -99,11 +101,11 @@ def exact_split(
     """
     spark = df.sparkSession
     hashed = hash_key(df, key, seed)
-    label = clean_value(df.schema[stratify]).alias("label") if stratify else F.lit(0).alias("label")
-    base = df.select(label, hashed.alias("h")).withColumn("prefix", F.substring("h", 1, PREFIX))
-    prefixes = base.groupBy("label", "prefix").agg(F.count(F.lit(1)).alias("n")).persist()
+    label = clean_value(df.schema[stratify]) if stratify else F.lit(0)
+    base = df.select(label.alias(LABEL), hashed.alias(HASH)).withColumn("prefix", F.substring(HASH, 1, PREFIX))
+    prefixes = base.groupBy(LABEL, "prefix").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        totals = prefixes.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()
+        totals = prefixes.groupBy(F.col(LABEL).alias("label")).agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()
         if not totals:
             return df.withColumn("split", F.lit("train"))
         if len(totals) > MAX_STRATA:
@@ -122,22 +124,23 @@ def exact_split(
 
         if stratified:
             numbers = spark.createDataFrame(
-                [(r["label"], i) for i, r in enumerate(totals)], f"label {df.schema[stratify].dataType.simpleString()}, s int"
+                [(r["label"], i) for i, r in enumerate(totals)],
+                f"__class {df.schema[stratify].dataType.simpleString()}, {STRATUM} int",
             )
-            number = lambda t: t.join(F.broadcast(numbers.withColumnRenamed("label", "_l")), F.col("label").eqNullSafe(F.col("_l"))).drop("_l")
+            number = lambda t: t.join(F.broadcast(numbers), F.col(LABEL).eqNullSafe(F.col("__class"))).drop("__class")
         else:
-            number = lambda t: t.withColumn("s", F.lit(0))
-        counts = number(prefixes).groupBy("s", "prefix").agg(F.sum("n").alias("n"))
+            number = lambda t: t.withColumn(STRATUM, F.lit(0))
+        counts = number(prefixes).groupBy(STRATUM, "prefix").agg(F.sum("n").alias("n"))
         wanted = []
         for i in range(len(sizes)):
             wanted += [(i, 0, test[i])] if test[i] else []
             wanted += [(i, 1, test[i] + val[i])] if val[i] else []
         cuts = _find_cuts(number(base), wanted, counts)
-        marked = number(df.withColumn("label", label).withColumn("h", hashed))
+        marked = number(df.withColumns({LABEL: label, HASH: hashed}))
         out = _label(marked, cuts, test, val, by_key=key is not None)
     finally:
         prefixes.unpersist()
-    out = out.drop("label", "s", "h")
+    out = out.drop(LABEL, STRATUM, HASH)
     if joint or not n_val:
         return out
     # Some class is down to one row: validation is drawn from the rest without strata.
@@ -165,33 +168,35 @@ def _label(marked: DataFrame, cuts: dict, test: Sequence[int], val: Sequence[int
         rows.append((s, last_test, last_val))
     if mixed and by_key:
         raise ValueError("the key repeats where a split must be cut: use a unique key, or none")
-    table = spark.createDataFrame(rows, "s int, last_test string, last_val string")
-    split = (
-        F.when(F.col("h") <= F.col("last_test"), "test").when(F.col("h") <= F.col("last_val"), "val").otherwise("train")
-    )
-    placed = marked.join(F.broadcast(table), "s").withColumn("split", split).drop("last_test", "last_val")
+    ends = {"__last_test": 1, "__last_val": 2}
+    if len(rows) == 1:
+        bounded = marked.withColumns({name: F.lit(rows[0][i]) for name, i in ends.items()})
+    else:
+        table = spark.createDataFrame(rows, f"{STRATUM} int, __last_test string, __last_val string")
+        bounded = marked.join(F.broadcast(table), STRATUM)
+    part = F.when(F.col(HASH) <= F.col("__last_test"), "test").when(F.col(HASH) <= F.col("__last_val"), "val")
+    placed = bounded.withColumn("split", part.otherwise("train")).drop(*ends)
     if not mixed:
         return placed
     # Equal rows on both sides of a cut: keep one of them and repeat it as often as
     # each part needs, in bounded pieces.
-    groups = F.broadcast(spark.createDataFrame(mixed, "s int, h string, test bigint, val bigint, train bigint"))
-    alone = placed.join(groups.select("s", "h"), ["s", "h"], "left_anti")
+    shares = [(s, h, [(p, n) for p, n in zip(("test", "val", "train"), sizes) if n]) for s, h, *sizes in mixed]
+    groups = F.broadcast(
+        spark.createDataFrame(shares, f"{STRATUM} int, {HASH} string, __parts array<struct<split:string,n:bigint>>")
+    )
+    alone = placed.join(groups.select(STRATUM, HASH), [STRATUM, HASH], "left_anti")
+    step = F.lit(COPIES_PER_TASK).cast("bigint")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     pieces = (
         placed.drop("split")
-        .join(groups, ["s", "h"])
-        .dropDuplicates(["s", "h"])
-        .withColumn(
-            "_part",
-            F.explode(F.array(*[F.struct(F.lit(p).alias("split"), F.col(p).alias("n")) for p in ("test", "val", "train")])),
-        )
-        .drop("test", "val", "train")
-        .filter(F.col("_part.n") > 0)
-        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_part.n") - 1, F.lit(COPIES_PER_TASK).cast("bigint"))))
-        .repartition("_part", "_from")
-        .withColumn("_size", F.least(F.col("_part.n") - F.col("_from"), F.lit(COPIES_PER_TASK)))
-        .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_size"))))
-        .withColumn("split", F.col("_part.split"))
-        .drop("_part", "_from", "_size", "_i")
+        .join(groups, [STRATUM, HASH])
+        .dropDuplicates([STRATUM, HASH])
+        .withColumn("__part", F.explode("__parts"))
+        .withColumn("__from", F.explode(F.sequence(zero, F.col("__part.n") - 1, step)))
+        .repartition(STRATUM, HASH, "__part", "__from")
+        .withColumn("__i", F.explode(F.sequence(one, F.least(F.col("__part.n") - F.col("__from"), step))))
+        .withColumn("split", F.col("__part.split"))
+        .drop("__parts", "__part", "__from", "__i")
     )
     return alone.unionByName(pieces)
 

@@ -30,29 +30,29 @@ def attach_share(df: DataFrame, key: str, out: str, fit: DataFrame | None = None
     served get a salt, so that no shuffle partition holds a hot key.
     """
     fit = df if fit is None else fit
-    counts = fit.groupBy(col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = fit.groupBy(col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
     small = local_copy(counts, limit)
     if small is not None:
-        total = sum(r["_n"] for r in small.collect())
-        table = small.select("_k", (F.col("_n") / F.lit(float(max(total, 1)))).alias(out))
-        return df.join(F.broadcast(table), col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+        total = sum(r["__n"] for r in small.collect())
+        table = small.select("__k", (F.col("__n") / F.lit(float(max(total, 1)))).alias(out))
+        return df.join(F.broadcast(table), col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 
     total = float(fit.count())
-    share = (F.col("_n") / F.lit(total)).alias("_share")
-    is_hot = F.col("_n") > F.lit(total / HOT_PARTS)
-    hot = local_copy(counts.filter(is_hot), HOT_PARTS).select(F.col("_k").alias("_hk"), share.alias("_hot"))
+    share = (F.col("__n") / F.lit(total)).alias("__share")
+    is_hot = F.col("__n") > F.lit(total / HOT_PARTS)
+    hot = local_copy(counts.filter(is_hot), HOT_PARTS).select(F.col("__k").alias("__hk"), share.alias("__hot"))
     cold = counts.filter(~is_hot).select(
-        F.col("_k").alias("_ck"), F.lit(0).cast("bigint").alias("_cs"), share.alias("_cold")
+        F.col("__k").alias("__ck"), F.lit(0).cast("bigint").alias("__cs"), share.alias("__cold")
     )
-    marked = df.join(F.broadcast(hot), col(key).eqNullSafe(F.col("_hk")), "left").drop("_hk")
-    served = F.col("_hot").isNotNull()
+    marked = df.join(F.broadcast(hot), col(key).eqNullSafe(F.col("__hk")), "left").drop("__hk")
+    served = F.col("__hot").isNotNull()
     marked = marked.withColumns(
         {
-            "_jk": F.when(~served, col(key)),
-            "_js": F.when(served, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0),
+            "__jk": F.when(~served, col(key)),
+            "__js": F.when(served, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0),
         }
     )
     joined = marked.join(
-        cold, F.col("_jk").eqNullSafe(F.col("_ck")) & F.col("_js").eqNullSafe(F.col("_cs")), "left"
+        cold, F.col("__jk").eqNullSafe(F.col("__ck")) & F.col("__js").eqNullSafe(F.col("__cs")), "left"
     )
-    return joined.withColumn(out, F.coalesce("_hot", "_cold")).drop("_jk", "_js", "_ck", "_cs", "_hot", "_cold")
+    return joined.withColumn(out, F.coalesce("__hot", "__cold")).drop("__jk", "__js", "__ck", "__cs", "__hot", "__cold")

@@ -93,6 +93,8 @@ def fit_preprocessor(
     Numbers (and booleans as 0/1): median, then standard scale. Other columns: most
     frequent value, then one-hot over all levels; an unseen level is all zeros.
     """
+    if "features" in df.columns:
+        raise ValueError("a column named features is in the way of the feature vector: rename it")
     used = [c for c in model_columns(df, target, roles) if c != target]
     types = {c: df.schema[c].dataType for c in used}
     numeric = [c for c in used if is_number(types[c]) or is_bool(types[c])]
@@ -145,9 +147,9 @@ def encode_labels(df: DataFrame, target: str, classes: Sequence, out: str = "lab
     """Add the position of the target among ``classes`` as double; an unseen label fails."""
     spark = df.sparkSession
     table = spark.createDataFrame(
-        [(c, float(i)) for i, c in enumerate(classes)], f"_class {df.schema[target].dataType.simpleString()}, _code double"
+        [(c, float(i)) for i, c in enumerate(classes)], f"__class {df.schema[target].dataType.simpleString()}, __code double"
     )
     value = clean_value(df.schema[target])
-    joined = df.join(F.broadcast(table), value == F.col("_class"), "left")
+    joined = df.join(F.broadcast(table), value == F.col("__class"), "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(value.cast("string"), F.lit("missing"))))
-    return joined.withColumn(out, F.coalesce("_code", unseen.cast("double"))).drop("_class", "_code")
+    return joined.withColumn(out, F.coalesce("__code", unseen.cast("double"))).drop("__class", "__code")

@@ -111,7 +111,8 @@ def exact_split(
         if len(totals) > MAX_STRATA:
             raise ValueError(f"{stratify} has more than {MAX_STRATA} classes: it cannot be stratified")
         totals = sorted(totals, key=lambda r: (r["label"] is not None, r["label"]))
-        stratified = bool(stratify) and min(r["n"] for r in totals if r["label"] is not None) >= 2
+        smallest = min((r["n"] for r in totals if r["label"] is not None), default=0)
+        stratified = bool(stratify) and smallest >= 2
         if not stratified:
             totals = [{"label": None, "n": sum(r["n"] for r in totals)}]
         sizes = [r["n"] for r in totals]

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.types import as_double, col
+from ..functions.types import as_double
 from ..operators import cluster_metrics, metrics
 from ..operators.estimators import DensityModel, NeighborModel, Training, fit_model, with_score
 from ..operators.prep import Preprocessor, encode_labels, fit_preprocessor, label_classes
@@ -53,12 +53,14 @@ def feature_table(
     df: DataFrame, prep: Preprocessor, task_type: str, target: str | None, classes: Sequence | None
 ) -> DataFrame:
     """``(row_id, features, label)``, written once: row ids must not change between passes."""
+    # The label gets a name of its own first: the table may have a feature called "label".
     if task_type == "classification":
-        df = encode_labels(df, target, classes, "label")
+        df = encode_labels(df, target, classes, "__label")
     elif task_type == "regression":
-        df = df.withColumn("label", as_double(df, target))
-    out = prep.model.transform(df).withColumn("row_id", F.monotonically_increasing_id())
-    return cut_lineage(out.select("row_id", "features", *(["label"] if task_type != "clustering" else [])), "features")
+        df = df.withColumn("__label", as_double(df, target))
+    out = prep.model.transform(df).withColumn("__id", F.monotonically_increasing_id())
+    label = [F.col("__label").alias("label")] if task_type != "clustering" else []
+    return cut_lineage(out.select(F.col("__id").alias("row_id"), "features", *label), "features")
 
 
 def prepare(
@@ -136,20 +138,18 @@ class FittedModel:
         Batch scoring: one pass, except for neighbour models, which number and write the
         rows first.
         """
-        features = self.prep.model.transform(df)
         if isinstance(self.core, DensityModel):
             raise ValueError("a density clustering has no predictions for new rows")
+        # The row travels whole, so that its columns meet none of the model's.
+        features = self.prep.model.transform(df.withColumn("__row", F.struct("*"))).select("__row", "features")
         if isinstance(self.core, NeighborModel):
-            features = cut_lineage(
-                features.select(*[col(c) for c in df.columns], "features").withColumn("row_id", F.monotonically_increasing_id()),
-                "scoring",
-            )
+            features = cut_lineage(features.withColumn("row_id", F.monotonically_increasing_id()), "scoring")
         out = with_score(self.core.transform(features), self.classes)
-        keep = [col(c) for c in df.columns] + [F.col("prediction").cast("double").alias("prediction")]
+        keep = [F.col("prediction").cast("double").alias("prediction")]
         if self.classes is not None:
             names = F.array(*[F.lit(c) for c in self.classes])
             keep += [F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted_label"), F.col("score")]
-        return out.select(*keep)
+        return out.select("__row.*", *keep)
 
     def save(self, path: str) -> str:
         spark = SparkSession.active()

@@ -26,7 +26,8 @@ OPTIONAL_TIME = "[ H:mm[:ss]]"
 FIRST_YEAR, LAST_YEAR = 1678, 2261
 # No accepted form is longer than this or uses other characters.
 LONGEST_DATE = 40
-DATE_CHARACTERS = r"^[\p{L}\d ,./:+-]*\d[\p{L}\d ,./:+-]*$"
+# Every form has a year of four digits.
+DATE_CHARACTERS = r"^[\p{L}\d ,./:+-]*\d{4}[\p{L}\d ,./:+-]*$"
 ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?\s*(Z|[+-]\d{1,2}:?\d{2})?)?)?)?$"
 
 

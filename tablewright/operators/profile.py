@@ -1,10 +1,10 @@
 """Table shape, column profile, samples, duplicates, roles and candidate targets.
 
-Sums over all columns come from one wide aggregate. Distinct values are counted
-column by column in one job: each branch reads only its column from the files, groups
-typed values (long strings by digest), and merges them before the shuffle. That is
-several times faster than unpivoting all columns of a row, but reads its input once
-per column: give these operators a file scan or a written stage, not a raw join.
+Columns are counted one by one in a single job: each branch reads only its column
+from the files, groups typed values (long strings by digest), and merges them before
+the shuffle. That is several times faster than unpivoting all columns of a row, but
+reads its input once per column: give these operators a file scan or a written stage,
+not a raw join.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.dates import parse_datetime
-from ..functions.text import as_text, char_count, equality_key, row_digest, word_count
+from ..functions.text import LONG_TEXT, as_text, char_count, equality_key, row_digest, word_count
 from ..functions.types import clean_value, is_bool, is_datetime, is_number
 
 # Name fragments that, with nearly unique values, mark an identifier.
@@ -45,32 +45,52 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)).cast("bigint"))
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """``(column, distinct)`` over present values."""
-    branches = [
-        df.select(equality_key(f).alias("key"))
-        .groupBy("key")
-        .agg(F.lit(1).alias("one"))
-        .agg(F.count("key").alias("distinct"))
-        .select(F.lit(f.name).alias("column"), "distinct")
-        for f in df.schema
-    ]
-    return reduce(DataFrame.unionAll, branches)
-
-
 def sketch_distinct(value: Column, log_size: int = 12) -> Column:
     """Approximate distinct count by an HLL sketch: one small object, whatever the column."""
     return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(log_size)))
 
 
-def _column_sums(df: DataFrame, approx_distinct: bool) -> DataFrame:
-    """Per column: rows, present values and, for text, characters, words and readable dates."""
+def _exact_branch(df: DataFrame, field: T.StructField) -> DataFrame:
+    """One line of sums for one column, from its distinct values and their counts.
+
+    Text is measured per distinct value. A long text is keyed by its digest and brings
+    its sizes along; it is longer than any date.
+    """
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
+    present = F.sum(F.when(F.col("key").isNotNull(), n).otherwise(0)).alias("present")
+    rows = F.coalesce(F.sum("n"), zero).alias("rows")
+    if _family(field.dataType) != "other":
+        counts = df.select(equality_key(field).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        measures = [zero.alias(c) for c in ("chars", "words", "dates")]
+    else:
+        text = as_text(field)
+        long = F.length(text) > LONG_TEXT
+        keyed = df.select(
+            equality_key(field).alias("key"),
+            F.when(long, char_count(text)).alias("long_chars"),
+            F.when(long, word_count(text)).alias("long_words"),
+        )
+        counts = keyed.groupBy("key", "long_chars", "long_words").agg(F.count(F.lit(1)).alias("n"))
+        key = F.col("key")
+        dated = F.col("long_chars").isNull() & parse_datetime(key).isNotNull()
+        measures = [
+            F.sum(n * F.coalesce("long_chars", char_count(key))).alias("chars"),
+            F.sum(n * F.coalesce("long_words", word_count(key))).alias("words"),
+            F.sum(F.when(dated, n).otherwise(0)).alias("dates"),
+        ]
+    return counts.agg(rows, present, F.count("key").alias("distinct"), *measures).select(
+        F.lit(field.name).alias("column"), "*"
+    )
+
+
+def _sketch_sums(df: DataFrame) -> DataFrame:
+    """The same lines in one pass without a shuffle of values, distinct counts by sketch."""
     aggs, entries = [F.count(F.lit(1)).alias("rows")], []
     zero = F.lit(0).cast("bigint")
     for i, f in enumerate(df.schema):
         value = clean_value(f)
-        aggs.append(F.count(value).alias(f"n{i}"))
-        fields = [F.lit(f.name).alias("column"), F.col("rows"), F.col(f"n{i}").alias("present")]
+        aggs += [F.count(value).alias(f"n{i}"), sketch_distinct(value).alias(f"a{i}")]
+        measures = [zero] * 3
         if _family(f.dataType) == "other":
             text = as_text(f)
             aggs += [
@@ -78,13 +98,16 @@ def _column_sums(df: DataFrame, approx_distinct: bool) -> DataFrame:
                 F.sum(word_count(text).cast("bigint")).alias(f"w{i}"),
                 F.count(parse_datetime(text)).alias(f"d{i}"),
             ]
-            fields += [F.col(f"{x}{i}").alias(a) for x, a in (("c", "chars"), ("w", "words"), ("d", "dates"))]
-        else:
-            fields += [zero.alias(a) for a in ("chars", "words", "dates")]
-        if approx_distinct:
-            aggs.append(sketch_distinct(value).alias(f"a{i}"))
-            fields.append(F.col(f"a{i}").alias("distinct"))
-        entries.append(F.struct(*fields))
+            measures = [F.col(f"{x}{i}") for x in "cwd"]
+        entries.append(
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.col("rows"),
+                F.col(f"n{i}").alias("present"),
+                F.coalesce(F.col(f"a{i}"), zero).alias("distinct"),
+                *[m.alias(c) for m, c in zip(measures, ("chars", "words", "dates"))],
+            )
+        )
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
 
 
@@ -95,18 +118,21 @@ def column_stats(df: DataFrame, distinct: str = "exact") -> DataFrame:
     """
     if distinct not in ("exact", "approx"):
         raise ValueError(f"unknown distinct method: {distinct}")
-    stats = column_list(df).join(F.broadcast(_column_sums(df, distinct == "approx")), "column")
-    if distinct == "exact":
-        stats = stats.join(F.broadcast(distinct_counts(df)), "column")
-    mean = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("present").cast("double")), F.lit(0.0))
-    return stats.select(
+    if distinct == "approx":
+        sums = _sketch_sums(df)
+    else:
+        sums = reduce(DataFrame.unionAll, [_exact_branch(df, f) for f in df.schema])
+    present = F.coalesce("present", F.lit(0).cast("bigint"))
+    mean = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), present.cast("double")), F.lit(0.0))
+    # One line per column on either side.
+    return column_list(df).join(F.broadcast(sums), "column").select(
         "column",
         "position",
         "dtype",
         "family",
         "rows",
-        (F.col("rows") - F.col("present")).alias("missing"),
-        "present",
+        (F.col("rows") - present).alias("missing"),
+        present.alias("present"),
         "distinct",
         mean("chars").alias("avg_len"),
         mean("words").alias("avg_words"),

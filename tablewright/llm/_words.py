@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _CODES = np.arange(256)
 
@@ -119,7 +120,7 @@ def windows(words: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Slices of ``batch`` with about ``limit`` bytes of text each; a longer text is a slice of its own."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > limit:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import licenses, url_filter, warc
+from . import decontaminate, licenses, packing, quality, url_filter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -22,6 +22,39 @@ def op2_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, d, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality_report(table(spark, d, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    found = decontaminate.benchmark_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    items = F.array_distinct(F.filter(F.transform("matches", lambda m: m["item"]), lambda i: i.isNotNull()))
+    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, h: n + h["end"] - h["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items.cast("array<string>")), ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def word_bpe() -> str:
+    """The vocabulary file, found where the task runs."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: Ends each document.
+END_ID = 2
+
+
+def op6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), word_bpe, END_ID)
+
+
 def op7_warc_archive(spark: SparkSession, d: str) -> DataFrame:
     folder = warc.write_archive(table(spark, d, "pages"), scratch_path(spark, "warc"))
     return warc.record_facts(spark, folder).withColumnRenamed("row", "page_id")
@@ -47,6 +80,9 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_packing": op6_packing,
     "op7_warc_archive": op7_warc_archive,
     "op10_license_scan": op10_license_scan,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import decontaminate, licenses, packing, quality, url_filter, warc
+from . import decontaminate, licenses, packing, quality, secrets, toxicity, url_filter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -40,6 +40,14 @@ def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def word_bpe() -> str:
     """The vocabulary file, found where the task runs."""
     import public_tokenizers
@@ -60,6 +68,15 @@ def op7_warc_archive(spark: SparkSession, d: str) -> DataFrame:
     return warc.record_facts(spark, folder).withColumnRenamed("row", "page_id")
 
 
+#: Least score of a document that is called toxic.
+TOXIC = 0.7
+
+
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    found = toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     templates = [(t, label, True) for t, label in licenses.PHRASES] + [(t, label, False) for t, label in licenses.NOTICES]
     found = licenses.scan_licenses(table(spark, d, "documents"), licenses.templates_table(spark, templates))
@@ -82,8 +99,10 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
     "op7_warc_archive": op7_warc_archive,
+    "op8_toxicity": op8_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 

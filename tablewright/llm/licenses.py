@@ -18,6 +18,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHORT, LONG = 2, 4
 #: Templates of at least this many words vote by fours.
 LONG_WORDS = 12
+#: Most rows of a run table that is broadcast; a row is below 200 bytes.
+BROADCAST_RUNS = 100_000
 #: Share of a template's words that a span needs.
 COVERAGE = 0.7
 
@@ -99,8 +101,8 @@ def scan_licenses(
     ``best`` is the highest share anywhere, verified or not. A null or empty text has no words, no span and 0. Rows with equal
     values each give a row; a null row id stays null. Other columns are not read. Without templates no row has a span.
 
-    A vote needs equal words, not only equal hashes. Spark broadcasts the run table only while its exact size is below the
-    session's threshold; beyond that the join shuffles. Only votes, and one row for each text, are shuffled.
+    A vote needs equal words, not only equal hashes. The run table is broadcast when it is counted to have at most
+    ``BROADCAST_RUNS`` rows; beyond that the join shuffles. With it, only votes and one row for each text are shuffled.
     """
     ks = sorted(r[0] for r in templates.select("k").distinct().collect()) or [SHORT]
     source = docs.select(
@@ -121,6 +123,8 @@ def scan_licenses(
         "template", "label", "base", "k", "size", "at",
         F.xxhash64(F.col("k"), *map(word, range(LONG))).alias("wanted"), *(word(j).alias(f"t{j}") for j in range(LONG)),
     )
+    if templates.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        wanted = F.broadcast(wanted)
     agree = F.col("gram") == F.col("wanted")
     for j in range(LONG):
         agree = agree & (F.col(f"t{j}").isNull() | (F.col(names[j]) == F.col(f"t{j}")))

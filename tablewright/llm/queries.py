@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import decontaminate, licenses, packing, quality, secrets, toxicity, url_filter, warc
+from . import decontaminate, licenses, minhash, packing, quality, secrets, toxicity, url_filter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -18,6 +18,11 @@ URL_RULES = [
 ]
 
 
+def op1_minhash(spark: SparkSession, d: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op2_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, d, "pages"), url_filter.rules_table(spark, URL_RULES))
 
@@ -96,6 +101,7 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontaminate": op4_decontaminate,

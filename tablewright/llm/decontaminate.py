@@ -144,6 +144,8 @@ def leaks(texts, block: Block, window: int = WINDOW):
     short = (block.count[block.item] < window) & (place == 0) & (length == size)
     window_low[short], window_high[short] = low[short], high[short]
     found = np.flatnonzero(window_high > window_low)
+    if not len(found):
+        return text, hit[:n] > 0, none
     many = (window_high - window_low)[found]
     suffix = np.repeat(found, many)
     skip = np.cumsum(many) - many
@@ -154,10 +156,10 @@ def leaks(texts, block: Block, window: int = WINDOW):
     item, shift = block.item[suffix], spot - suffix
     sort = np.lexsort((spot, shift, item))
     item, shift, spot, suffix = item[sort], shift[sort], spot[sort], suffix[sort]
-    new = np.r_[True, (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (spot[1:] != spot[:-1] + 1) | (text[spot[1:]] != text[spot[:-1]])][: len(spot)]
+    new = np.r_[True, (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (spot[1:] != spot[:-1] + 1) | (text[spot[1:]] != text[spot[:-1]])]
     heads = np.flatnonzero(new)
     tails = np.r_[heads[1:], len(spot)] - 1
-    first_word = np.searchsorted(text, text[spot[heads]], "left") if len(heads) else heads
+    first_word = np.searchsorted(text, text[spot[heads]], "left")
     matches = (
         text[spot[heads]], item[heads], place[suffix[heads]], spot[heads] - first_word,
         spot[tails] + size[suffix[tails]] - spot[heads],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import decontaminate, licenses, minhash, packing, quality, secrets, toxicity, url_filter, warc
+from . import decontaminate, licenses, line_dedup, minhash, packing, quality, secrets, toxicity, url_filter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -82,6 +82,11 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs, count="n_removed")
+
+
 def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     templates = [(t, label, True) for t, label in licenses.PHRASES] + [(t, label, False) for t, label in licenses.NOTICES]
     found = licenses.scan_licenses(table(spark, d, "documents"), licenses.templates_table(spark, templates))
@@ -109,6 +114,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_warc_archive": op7_warc_archive,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
 }
 

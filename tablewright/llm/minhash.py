@@ -126,7 +126,8 @@ def _across(least: int, tile: int):
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        a, b = (np.array(x["bits"].tolist(), np.int64).reshape(-1, BITS * WORDS64) for x in (left, right))
+        # Unsigned: bits of a negative number would be counted in its absolute value.
+        a, b = (np.array(x["bits"].tolist(), np.int64).reshape(-1, BITS * WORDS64).view(np.uint64) for x in (left, right))
         out = []
         for i in range(len(left)):
             differ = np.bitwise_count((a[i, :WORDS64] ^ b[:, :WORDS64]) | (a[i, WORDS64:] ^ b[:, WORDS64:])).sum(1)

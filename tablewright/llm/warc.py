@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._rows import steady
+
 #: Equal payloads below this size each stay a response record.
 REVISIT_BYTES = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,6 +47,7 @@ def write_archive(
     a third of the rows share can be split on the other (adaptive skew join). Payload bytes are only
     shuffled by row, which is never hot.
     """
+    pages = steady(pages.select(row, url, payload))
     base = pages.select(
         F.monotonically_increasing_id().alias("place"),
         F.col(row).cast("bigint").alias("row"),

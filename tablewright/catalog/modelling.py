@@ -9,6 +9,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from ..operators.estimators import MODELS
 from ..operators.features import FeatureSpec, derive_features
 from ..operators.split import exact_split, parts
 from ..plans.config import RunConfig
@@ -18,7 +19,7 @@ from ..plans.tuning import evaluate, evaluation_frame, rows_frame, tune
 from ..session import cut_lineage, scratch_path
 from .common import modeling_table, plain, table
 
-# Settings that keep ensembles small; the data are whole.
+# Explicit choices that keep ensembles small (the defaults are in DEFAULTS and FULL_SPACES); the data are whole.
 PARAMS = {
     "random_forest_classifier": {"n_estimators": 20, "max_depth": 5},
     "random_forest_regressor": {"n_estimators": 20, "max_depth": 5},
@@ -86,7 +87,7 @@ def train_neighbors_regressor(spark, d):
 
 def tune_classification(spark, d):
     bench = _bench(spark, d, "classification")
-    found = tune(bench, ["logistic_regression", "random_forest_classifier"], 2)
+    found = tune(bench, ["logistic_regression", "random_forest_classifier"], 2, full=False)
     return found.frame(spark, "classification")
 
 
@@ -124,6 +125,7 @@ def run_config(**kw) -> RunConfig:
         features=TEXT_SPECS,
         models=["logistic_regression", "random_forest_classifier"],
         n_iter=1,
+        full_spaces=False,
         key="doc_id",
     )
     return RunConfig(**{**base, **kw})
@@ -155,16 +157,7 @@ def trial_table(spark, d):
     return rows_frame(spark, "regression", rows)
 
 
-TASKS = {
-    "classification": [
-        "logistic_regression", "random_forest_classifier", "gradient_boosting_classifier", "linear_svc",
-        "k_neighbors_classifier",
-    ],
-    "regression": ["ridge_regression", "sgd_regressor", "random_forest_regressor", "gradient_boosting_regressor"],
-    "clustering": ["kmeans", "agglomerative_clustering", "dbscan"],
-}
-
-QUERIES = {f"train_{name}": partial(train_model, task=task, name=name) for task, names in TASKS.items() for name in names}
+QUERIES = {f"train_{name}": partial(train_model, task=task, name=name) for task, names in MODELS.items() for name in names}
 QUERIES |= {
     "train_k_neighbors_regressor": train_neighbors_regressor,
     "tune_classification": tune_classification,

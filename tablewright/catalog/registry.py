@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import registry
+from ..session import cut_lineage, scratch_path
 from .common import plain, table
 
 TURN = "1998-01-01"  # orders before it are history, later ones candidates
@@ -42,10 +43,16 @@ def registry_compatible(spark, d):
 
 
 def registry_append(spark, d):
-    history = runs(spark, d)
+    """Early orders are stored, late ones added where they are better than those, and the registry is read back."""
+    path = scratch_path(spark, "registry")
     late = F.col("created_at") >= F.lit(TURN).cast("timestamp_ntz")
-    found = registry.improvements(history.filter(~late), history.filter(late))
-    return plain(found.select("run_id", "task_type", "target", "rank_score", "to_beat", "is_better"))
+    registry.append_runs(runs(spark, d).filter(~late), path)
+    stored = registry.read_registry(spark, path)
+    found = cut_lineage(registry.improvements(stored, runs(spark, d).filter(late)), "candidates")
+    registry.append_runs(found.filter("is_better"), path)
+    back = registry.read_registry(spark, path).select("run_id", F.lit(True).alias("stored"))
+    out = found.join(back, "run_id", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    return plain(out.select("run_id", "task_type", "target", "rank_score", "to_beat", "is_better", "stored"))
 
 
 BEST = (
@@ -67,7 +74,8 @@ ORACLE = {
     f"{SQL_RUNS} UNION ALL SELECT DISTINCT c_mktsegment, 'F' FROM customer) a LEFT JOIN {BEST.format(source=SQL_RUNS)} b "
     "ON a.task_type = b.task_type AND a.target IS NOT DISTINCT FROM b.target",
     "registry_append": "SELECT c.run_id, c.task_type, c.target, c.rank_score, b.rank_score AS to_beat, "
-    "b.task_type IS NULL OR c.rank_score > b.rank_score AS is_better FROM "
+    "b.task_type IS NULL OR c.rank_score > b.rank_score AS is_better, "
+    "b.task_type IS NULL OR c.rank_score > b.rank_score AS stored FROM "
     f"(SELECT * FROM {SQL_RUNS} WHERE created_at >= '{TURN}') c LEFT JOIN "
     + BEST.format(source=f"(SELECT * FROM {SQL_RUNS} WHERE created_at < '{TURN}')")
     + " b ON c.task_type = b.task_type AND c.target IS NOT DISTINCT FROM b.target",

@@ -8,7 +8,7 @@ from ..operators.split import exact_split
 from ..session import scratch_path
 from ..sources.artifacts import read_artifact, write_artifact
 from ..sources.csv import read_csv
-from ..sources.tables import read_split, write_splits, write_stage
+from ..sources.tables import read_split, write_csv, write_splits, write_stage
 from .common import COLUMNS, gaps, plain, sql_stamp, table
 
 LINES = [c for c in COLUMNS["lineitem"] if c != "l_shipdate"]
@@ -28,6 +28,13 @@ def csv_scan(spark, d):
     return plain(_csv(spark, d, ";").select(*LINES))
 
 
+def csv_text(spark, d):
+    """Texts with line breaks, commas and quotes, to CSV and back."""
+    path = scratch_path(spark, "csv")
+    write_csv(table(spark, d, "documents"), path)
+    return read_csv(spark, path)
+
+
 def csv_types(spark, d):
     df = _csv(spark, d, ",")
     rows = [(f.name, f.dataType.simpleString()) for f in df.schema]
@@ -61,6 +68,7 @@ RANKED_ORDERS = "(SELECT *, row_number() OVER (ORDER BY md5('42:' || o_orderkey)
 QUERIES = {
     "scan_parquet": scan_parquet,
     "csv_scan": csv_scan,
+    "csv_text": csv_text,
     "csv_types": csv_types,
     "stage_table": stage_table,
     "split_table": split_table,
@@ -74,6 +82,7 @@ ORACLE = {
         f"CAST({GAPS.get(c, c)} AS BIGINT) AS {c}" if CSV_TYPES[c] == "bigint" else f"{GAPS.get(c, c)} AS {c}" for c in LINES
     )
     + " FROM lineitem",
+    "csv_text": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "csv_types": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) - count({GAPS.get(c, c)}) AS missing FROM lineitem"
         for c, t in CSV_TYPES.items()

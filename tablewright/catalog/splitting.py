@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prep
 from ..operators.clean import fill_mode
-from ..operators.prep import encode_labels, label_classes, model_columns, standardize
+from ..operators.prep import class_codes, encode_labels, model_columns, standardize
 from ..operators.profile import infer_roles
 from ..operators.split import exact_split, parts, split_manifest
 from .common import SQL_EVENT_GAPS, SQL_GAPS, event_gaps, gaps, plain, table
@@ -74,15 +74,15 @@ def prep_one_hot(spark, d):
 
 def label_codes(spark, d):
     df = table(spark, d, "orders")
-    text = encode_labels(df, "o_orderpriority", label_classes(df, "o_orderpriority"), "priority_code")
-    both = encode_labels(text, "o_custkey", label_classes(df, "o_custkey"), "customer_code")
+    text = encode_labels(df, "o_orderpriority", class_codes(df, "o_orderpriority"), "priority_code")
+    both = encode_labels(text, "o_custkey", class_codes(df, "o_custkey"), "customer_code")
     return both.select("o_orderkey", "priority_code", "customer_code")
 
 
 def event_labels(spark, d):
     """Label codes of a target whose gaps are dropped first."""
     df = event_gaps(spark, d).filter("event_type IS NOT NULL")
-    return encode_labels(df, "event_type", label_classes(df, "event_type"), "code").select("event_id", "code")
+    return encode_labels(df, "event_type", class_codes(df, "event_type"), "code").select("event_id", "code")
 
 
 def _parts_sql(test: str, val: str) -> str:

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_ROUNDS = 200
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the smallest node.
 
@@ -21,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct()
     nodes = links.select(F.explode(F.array("u", "w")).alias("node")).distinct()
     links = cut_lineage(links.filter("u <> w"), "links")
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Large star: the larger neighbours of each node move to its smallest neighbour.
         both = links.select("u", "w").unionAll(links.select(F.col("w").alias("u"), F.col("u").alias("w")))
         low = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
@@ -44,7 +41,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if _all_stars(links):
             roots = links.select(F.col("u").alias("node"), F.col("w").alias("root"))
             return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _all_stars(links: DataFrame) -> bool:

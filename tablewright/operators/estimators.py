@@ -44,7 +44,7 @@ MODELS = {
     "clustering": ["kmeans", "agglomerative_clustering", "dbscan"],
 }
 
-# Search grids of the full search.
+# Search grids, the default.
 FULL_SPACES = {
     "ridge_regression": {"alpha": [0.1, 1.0, 10.0, 100.0]},
     "sgd_regressor": {"alpha": [0.0001, 0.001]},
@@ -61,7 +61,7 @@ FULL_SPACES = {
     "dbscan": {"eps": [0.5, 0.7, 1.0], "min_samples": [5, 10]},
 }
 
-# Our default: the same grids, with smaller ensembles.
+# An explicit choice for a quick look: the same grids, with smaller ensembles.
 _FOREST = {"n_estimators": [20, 50], "max_depth": [5, 10]}
 _BOOSTING = {"n_estimators": [20, 50], "learning_rate": [0.05, 0.1]}
 LIGHT_SPACES = {

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_datetime, date_part
 from ..functions.numeric import guarded_ratio
 from ..functions.text import as_text, char_count, word_count
-from ..functions.types import as_double, clean_value, numeric_columns
+from ..functions.types import as_double, clean_value, col, numeric_columns
 from .lookup import attach_share
+from .profile import roles_frame
 
+# Kinds of features and parts of dates.
 ARITHMETIC = ("ratio", "difference", "product", "sum")
 KINDS = (*ARITHMETIC, "text_length", "text_word_count", "date_part", "is_missing", "category_frequency")
 DATE_PARTS = ("year", "month", "day", "dayofweek", "quarter")
@@ -108,6 +110,11 @@ def _add_level(table: DataFrame, level: Sequence[FeatureSpec], source: DataFrame
 
 
 def feature_report(df: DataFrame, created: Sequence[str], note: str = "") -> DataFrame:
-    """``(position, feature, dtype, note)`` of the created features."""
+    """``(position, feature, dtype, note, role)`` of the created features, with the roles that their values have."""
     rows = [(i, name, df.schema[name].dataType.simpleString(), note) for i, name in enumerate(created)]
-    return df.sparkSession.createDataFrame(rows, "position int, feature string, dtype string, note string")
+    report = df.sparkSession.createDataFrame(rows, "position int, feature string, dtype string, note string")
+    if not created:
+        return report.withColumn("role", F.lit(None).cast("string"))
+    # One row for each column on both sides.
+    roles = roles_frame(df.select(*[col(c) for c in created])).select(F.col("column").alias("feature"), "role")
+    return report.join(F.broadcast(roles), "feature", "left").select("position", "feature", "dtype", "note", "role")

@@ -144,15 +144,15 @@ def rank_score(task_type: str) -> Column:
     """One number to rank models by, larger is better, from the metric columns.
 
     Classification: AUC, else F1, where 0 counts as absent, else minus infinity.
-    Regression: minus RMSE. Clustering: silhouette, else minus infinity.
+    Regression: minus RMSE, else (no rows) minus infinity. Clustering: the silhouette of either kind, else minus infinity.
     """
     worst = F.lit(float("-inf"))
     if task_type == "classification":
         return F.coalesce(F.nullif(F.col("roc_auc"), F.lit(0.0)), F.nullif(F.col("f1"), F.lit(0.0)), worst)
     if task_type == "regression":
-        return -F.col("rmse")
+        return F.coalesce(-F.col("rmse"), worst)
     if task_type == "clustering":
-        return F.coalesce(F.col("silhouette"), worst)
+        return F.coalesce("silhouette", "silhouette_squared", worst)
     raise ValueError(f"unknown task type: {task_type}")
 
 

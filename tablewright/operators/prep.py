@@ -13,8 +13,10 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.types import as_double, clean_value, is_bool, is_datetime, is_number, quoted
+from ..session import cut_lineage
 from .distributions import modes
 from .lookup import BROADCAST_ROWS, local_copy
 from .profile import infer_roles
@@ -135,21 +137,46 @@ def fit_preprocessor(
 
 
 def label_classes(df: DataFrame, target: str) -> list:
-    """Distinct labels in their own order: numbers by size, strings by text."""
+    """Distinct labels in their own order, for a model, which holds numbers for each class: numbers by size, strings by text.
+
+    To encode a column of any number of labels, use ``class_codes``.
+    """
     distinct = df.select(clean_value(df.schema[target]).alias("label")).filter(F.col("label").isNotNull()).distinct()
-    local = local_copy(distinct, BROADCAST_ROWS)
-    if local is None:
-        raise ValueError(f"{target} has more than {BROADCAST_ROWS} classes")
-    return sorted(r["label"] for r in local.collect())
+    return sorted(r["label"] for r in distinct.collect())
+
 
+def class_codes(df: DataFrame, target: str) -> DataFrame:
+    """``(__class, __code)``: the distinct labels numbered in their own order, however many there are.
 
-def encode_labels(df: DataFrame, target: str, classes: Sequence, out: str = "label") -> DataFrame:
-    """Add the position of the target among ``classes`` as double; an unseen label fails."""
+    Labels are dealt out in ranges; a label's number is its place in the range after those of the ranges before. Only the
+    sizes of the ranges pass the driver.
+    """
     spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(c, float(i)) for i, c in enumerate(classes)], f"__class {df.schema[target].dataType.simpleString()}, __code double"
-    )
+    distinct = df.select(clean_value(df.schema[target]).alias("__class")).filter(F.col("__class").isNotNull()).distinct()
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(distinct.repartitionByRange(ranges, "__class").withColumn("__range", F.spark_partition_id()), "classes")
+    sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
+    starts = [(r, sum(n for q, n in sizes.items() if q < r)) for r in sizes] or [(0, 0)]
+    offsets = F.broadcast(spark.createDataFrame(starts, "__range int, __start bigint"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("__class"))
+    code = (F.col("__start") + place - 1).cast("double")
+    return placed.join(offsets, "__range").select("__class", code.alias("__code"))
+
+
+def encode_labels(df: DataFrame, target: str, classes: Sequence | DataFrame, out: str = "label") -> DataFrame:
+    """Add the position of the target among ``classes`` as double; an unseen label fails.
+
+    ``classes`` is a list, or a table as ``class_codes`` gives it, which is broadcast when counted to be small.
+    """
+    spark = df.sparkSession
+    if isinstance(classes, DataFrame):
+        small = local_copy(classes, BROADCAST_ROWS)
+        table = classes if small is None else F.broadcast(small)
+    else:
+        kind = df.schema[target].dataType.simpleString()
+        table = spark.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], f"__class {kind}, __code double")
+        table = F.broadcast(table) if len(classes) <= BROADCAST_ROWS else table
     value = clean_value(df.schema[target])
-    joined = df.join(F.broadcast(table), value == F.col("__class"), "left")
+    joined = df.join(table, value == F.col("__class"), "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(value.cast("string"), F.lit("missing"))))
     return joined.withColumn(out, F.coalesce("__code", unseen.cast("double"))).drop("__class", "__code")

@@ -18,9 +18,8 @@ from ..functions.types import as_double
 from .profile import sketch_distinct
 
 # Distinct values one aggregation buffer may hold; sketches err by a few percent.
-SMALL_DISTINCT = 1_000_000
+SMALL_DISTINCT = 100_000
 ACCURACY = 10_000
-MAX_ROUNDS = 8
 
 
 def quantiles(
@@ -87,8 +86,11 @@ def _wide_quantiles(
             keep = keep & (value <= s["high"])
         return F.when(keep, value)
 
-    for _ in range(MAX_ROUNDS):
-        # An interval of one repeated value is settled, however many rows hold it.
+    narrower = True
+    while narrower:
+        # An interval of one repeated value is settled, however many rows hold it. One that no round makes smaller
+        # consists of a few values with many rows each.
+        narrower = False
         active = [s for s in searches if s["inside"] > limit and (s["low"] is None or s["low"] < s["high"])]
         if not active:
             break
@@ -110,7 +112,8 @@ def _wide_quantiles(
             low, high = bounds[f"s{j}"]
             below, n = seen[f"b{j}"], seen[f"n{j}"]
             # Both neighbours of the rank must lie inside, else keep the old interval.
-            if below <= floor(s["k"]) and ceil(s["k"]) < below + n:
+            if below <= floor(s["k"]) and ceil(s["k"]) < below + n and n < s["inside"]:
+                narrower = True
                 s.update(low=low, high=high, below=below, inside=n)
 
     entries = [

@@ -21,11 +21,12 @@ from ..session import cut_lineage
 METRICS = {
     "classification": ["accuracy", "precision", "recall", "f1", "roc_auc"],
     "regression": ["rmse", "mae"],
-    "clustering": ["silhouette", "davies_bouldin", "calinski_harabasz"],
+    "clustering": ["silhouette", "silhouette_squared", "davies_bouldin", "calinski_harabasz"],
 }
-# Rows up to which the exact silhouette, quadratic in rows, is taken by default.
-EXACT_SILHOUETTE_ROWS = 100_000
-META = "task_type string, model_name string, params string, target string, classes string, kind string"
+# The two kinds of silhouette are different numbers with names of their own: by distances, which is quadratic in
+# rows, or by squared distances, which is linear. A run has the one that it asks for.
+SILHOUETTES = {"exact": "silhouette", "squared": "silhouette_squared"}
+META = "task_type string, model_name string, params string, target string, classes string, class_type string, kind string"
 
 
 @dataclass
@@ -37,7 +38,7 @@ class Workbench:
     prep: Preprocessor
     training: Training
     scored: DataFrame | None
-    silhouette: str = "auto"
+    silhouette: str = "exact"
 
     def fit(self, model_name: str, params: Mapping | None = None):
         return fit_model(self.task_type, model_name, params, self.training)
@@ -46,7 +47,7 @@ class Workbench:
         """Metrics on the scored part, or on the training part for clustering."""
         table = self.training.data if self.task_type == "clustering" else self.scored
         predicted = with_score(model.transform(table), self.training.classes)
-        return measure(self.task_type, predicted, self.training.classes, self.silhouette, self.training.rows)
+        return measure(self.task_type, predicted, self.training.classes, self.silhouette)
 
 
 def feature_table(
@@ -69,7 +70,7 @@ def prepare(
     scored: DataFrame | None,
     target: str | None,
     roles: Mapping[str, str] | None = None,
-    silhouette: str = "auto",
+    silhouette: str = "exact",
     quantile_method: str = "exact",
 ) -> Workbench:
     """Fit preprocessing and label codes on ``train`` and apply them to both parts."""
@@ -85,9 +86,7 @@ def _first(df: DataFrame) -> dict:
     return row.asDict() if row else {}
 
 
-def measure(
-    task_type: str, predicted: DataFrame, classes: Sequence | None, silhouette: str = "auto", rows: int = 0
-) -> dict:
+def measure(task_type: str, predicted: DataFrame, classes: Sequence | None, silhouette: str = "exact") -> dict:
     """All metrics of a table of predictions, with ``rank_score``."""
     if task_type == "classification":
         positive = 1.0 if len(classes) == 2 else None
@@ -98,25 +97,25 @@ def measure(
         found["roc_auc"] = None
         if len(classes) == 2 and predicted.filter(F.col("score").isNotNull()).limit(1).count():
             found["roc_auc"] = _first(metrics.roc_auc(predicted)).get("roc_auc")
-        found["rank_score"] = float(found["roc_auc"] or found["f1"] or float("-inf"))
     elif task_type == "regression":
         found = _first(metrics.regression_errors(predicted))
-        found["rank_score"] = -found["rmse"]
     else:
         predicted = cut_lineage(predicted.select("features", "prediction"), "predicted")
         if predicted.select("prediction").distinct().limit(2).count() < 2:
             found = dict.fromkeys(METRICS["clustering"])
         else:
-            exact = silhouette == "exact" or (silhouette == "auto" and rows <= EXACT_SILHOUETTE_ROWS)
-            found = {
-                "silhouette": _first(cluster_metrics.silhouette(predicted))["silhouette"]
-                if exact
-                else cluster_metrics.silhouette_squared(predicted)
-            }
+            found = dict.fromkeys(SILHOUETTES.values())
+            if silhouette == "exact":
+                found |= _first(cluster_metrics.silhouette(predicted))
+            else:
+                found["silhouette_squared"] = cluster_metrics.silhouette_squared(predicted)
             found |= _first(cluster_metrics.davies_bouldin(predicted))
             found |= _first(cluster_metrics.calinski_harabasz(predicted))
-        found["rank_score"] = float("-inf") if found["silhouette"] is None else found["silhouette"]
-    return found
+    names = METRICS[task_type]
+    row = SparkSession.active().createDataFrame(
+        [tuple(None if found[m] is None else float(found[m]) for m in names)], ", ".join(f"{m} double" for m in names)
+    )
+    return found | _first(row.select(metrics.rank_score(task_type).alias("rank_score")))
 
 
 @dataclass
@@ -161,7 +160,8 @@ class FittedModel:
         if kind == "density":
             self.core.labels.write.mode("overwrite").parquet(f"{path}/labels")
         plain = None if self.classes is None else json.dumps([_plain(c) for c in self.classes])
-        meta = [(self.task_type, self.model_name, json.dumps(self.params), self.target, plain, kind)]
+        class_type = type(self.classes[0]).__name__ if self.classes else None
+        meta = [(self.task_type, self.model_name, json.dumps(self.params), self.target, plain, class_type, kind)]
         write_artifact(spark.createDataFrame(meta, META).coalesce(1), f"{path}/meta")
         return path
 
@@ -173,7 +173,8 @@ def _plain(value):
 def load_fitted(spark: SparkSession, path: str) -> FittedModel:
     meta = read_artifact(spark, f"{path}/meta", META).first()
     stages = list(load_model(f"{path}/stages").stages)
-    classes = None if meta["classes"] is None else json.loads(meta["classes"])
+    again = {"date": date.fromisoformat, "datetime": datetime.fromisoformat}.get(meta["class_type"], lambda c: c)
+    classes = None if meta["classes"] is None else [again(c) for c in json.loads(meta["classes"])]
     params = json.loads(meta["params"])
     if meta["kind"] == "neighbors":
         core = NeighborModel(spark.read.parquet(f"{path}/points"), int(params.get("n_neighbors", 11)), classes)

@@ -22,7 +22,7 @@ from ..sources.artifacts import read_artifact, write_artifact
 from ..sources.tables import write_splits, write_stage
 from . import registry
 from .config import RunConfig, choose_models
-from .fitting import prepare
+from .fitting import SILHOUETTES, FittedModel, load_fitted, prepare
 from .tuning import evaluate, evaluation_frame, rows_frame, train, tune
 
 SUMMARY = "run_id string, section string, key string, value string"
@@ -49,6 +49,13 @@ def _lines(df: DataFrame, run_id: str, section: str, key: str, value: str) -> Da
     )
 
 
+def load_best(spark: SparkSession, root: str, task_type: str, target: str | None) -> FittedModel | None:
+    """The best registered model of a task and target, or None. For a clustering the target is the kind of silhouette."""
+    same = F.col("task_type").eqNullSafe(task_type) & F.col("target").eqNullSafe(F.lit(target))
+    best = registry.best_runs(registry.read_registry(spark, f"{root.rstrip('/')}/registry")).filter(same).first()
+    return None if best is None or best["model_path"] is None else load_fitted(spark, best["model_path"])
+
+
 def run_job(spark: SparkSession, df: DataFrame, config: RunConfig) -> RunResult:
     """Run all steps on one table. Stage tables and results go below ``config.root``.
 
@@ -67,6 +74,9 @@ def run_job(spark: SparkSession, df: DataFrame, config: RunConfig) -> RunResult:
         write_artifact(table, f"{folder}/{name}")
         return read_artifact(spark, f"{folder}/{name}", table.schema)
 
+    # The input first, so that no later pass runs its source again.
+    df = write_stage(df, f"{folder}/data/input")
+
     # Analyse and clean.
     keep(profile.column_profile(df), "analysis/profile")
     keep(profile.candidate_targets(df), "analysis/candidate_targets")
@@ -77,7 +87,7 @@ def run_job(spark: SparkSession, df: DataFrame, config: RunConfig) -> RunResult:
 
     # Explore.
     keep(distribution_report(table), "analysis/distributions")
-    findings = keep(eda.eda_report(table, target, config.task_type), "analysis/eda")
+    findings = keep(eda.eda_report(table, target, config.task_type, config.clean.quantile_method), "analysis/eda")
 
     # Derive features.
     created: list[str] = []
@@ -96,7 +106,8 @@ def run_job(spark: SparkSession, df: DataFrame, config: RunConfig) -> RunResult:
     # Tune and train; roles are fitted on the training part once.
     train_part, val_part, test_part = parts(split, "train"), parts(split, "val"), parts(split, "test")
     method = config.clean.quantile_method
-    bench = prepare(config.task_type, train_part, val_part, target, None, config.silhouette, method)
+    roles = profile.infer_roles(train_part, target)
+    bench = prepare(config.task_type, train_part, val_part, target, roles, config.silhouette, method)
     tuning = tune(bench, models, config.n_iter, config.spaces, config.full_spaces, config.parallelism)
     trials = keep(leaderboard(tuning.frame(spark, config.task_type)), "modeling/tuning")
     ranked, _ = train(bench, models, tuning.best_params, f"{folder}/models")
@@ -105,26 +116,21 @@ def run_job(spark: SparkSession, df: DataFrame, config: RunConfig) -> RunResult:
     # Evaluate the leader on held-out rows.
     leader = ranked[0]
     final = evaluate(
-        config.task_type, leader, parts(split, "train", "val"), test_part, target, None, config.silhouette, method
+        config.task_type, leader, parts(split, "train", "val"), test_part, target, roles, config.silhouette, method
     )
     model_path = final.save(f"{folder}/models/best_current")
     scores = keep(evaluation_frame(spark, final, leader["metrics"]), "modeling/evaluation")
 
-    # Register.
-    runs = registry.read_registry(spark, book)
-    current = spark.createDataFrame(
-        [(config.task_type, target, float(final.metrics["rank_score"]))], "task_type string, target string, rank_score double"
-    )
-    state = registry.status(runs, current.drop("rank_score")).first()["status"]
-    improved = registry.improvements(runs, current).first()["is_better"]
-    registry.append_run(
+    # Register. The two kinds of silhouette are not comparable, so each clustering is registered under its own.
+    known_as = SILHOUETTES[config.silhouette] if config.task_type == "clustering" else target
+    state, improved = registry.record_run(
         spark,
         book,
         {
             "run_id": run_id,
             "created_at": datetime.now(timezone.utc),
             "task_type": config.task_type,
-            "target": target,
+            "target": known_as,
             "model_name": final.model_name,
             "rank_score": float(final.metrics["rank_score"]),
             "model_path": model_path,
@@ -155,7 +161,7 @@ def run_job(spark: SparkSession, df: DataFrame, config: RunConfig) -> RunResult:
         [(run_id, s, k, None if v is None else str(v)) for (s, k), v in facts.items()], SUMMARY
     )
     best = registry.best_runs(registry.read_registry(spark, book))
-    best = best.filter(F.col("task_type").eqNullSafe(config.task_type) & F.col("target").eqNullSafe(F.lit(target)))
+    best = best.filter(F.col("task_type").eqNullSafe(config.task_type) & F.col("target").eqNullSafe(F.lit(known_as)))
     named = lambda t, *cs: t.withColumn("key", F.concat_ws(".", *cs))
     top = leaderboard(trials, TUNING_LINES)
     summary = reduce(

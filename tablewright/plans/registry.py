@@ -23,10 +23,31 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Add runs to the registry."""
+    kinds = dict(c.split() for c in SCHEMA.split(", "))
+    runs.select(*[F.col(n).cast(kinds[n]).alias(n) for n in NAMES]).write.mode("append").parquet(path)
+
+
 def append_run(spark: SparkSession, path: str, run: dict) -> None:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    row = spark.createDataFrame([tuple(run.get(n) for n in names)], SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(path)
+    append_runs(spark.createDataFrame([tuple(run.get(n) for n in NAMES)], SCHEMA).coalesce(1), path)
+
+
+def record_run(spark: SparkSession, path: str, run: dict) -> tuple[str, bool]:
+    """Add a run; returns the state of the registry before it and whether it is the best of its kind so far.
+
+    Two runs that end at once may both find themselves better than what they read; which one is best is
+    what ``best_runs`` says afterwards.
+    """
+    runs = read_registry(spark, path)
+    row = spark.createDataFrame([tuple(run.get(n) for n in NAMES)], SCHEMA)
+    found = improvements(runs, row).first()
+    state = status(runs, row.select(*KEY)).first()["status"]
+    append_run(spark, path, run)
+    return state, bool(found["is_better"])
 
 
 def best_runs(runs: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def rows_frame(spark: SparkSession, task_type: str, rows: Sequence[Mapping]) ->
 
 
 def _by_rank(rows: Sequence[dict]) -> list[dict]:
-    return sorted(rows, key=lambda r: -r["rank_score"])
+    """Best first, ties by name, as in the stored leaderboard."""
+    return sorted(rows, key=lambda r: (-r["rank_score"], r["model_name"]))
 
 
 def tune(
@@ -64,7 +65,7 @@ def tune(
     models: Sequence[str],
     n_iter: int = 4,
     spaces: Mapping[str, Mapping] | None = None,
-    full: bool = False,
+    full: bool = True,
     parallelism: int = 2,
 ) -> Tuning:
     """Try up to ``n_iter`` (1 to 8) settings per model; a failing trial ranks last.
@@ -85,7 +86,7 @@ def tune(
             found = fit_and_measure(bench, name, params).metrics
             return {"model_name": name, "params": params, "metrics": found, "rank_score": found["rank_score"]}
         except Exception as error:  # noqa: BLE001 - the trial's failure is its result
-            return {"model_name": name, "params": params, "error": str(error)[:1000], "rank_score": float("-inf")}
+            return {"model_name": name, "params": params, "error": str(error), "rank_score": float("-inf")}
 
     pool = ThreadPool(max(1, min(parallelism, len(jobs))))
     try:
@@ -127,7 +128,7 @@ def evaluate(
     test: DataFrame,
     target: str | None,
     roles: Mapping[str, str] | None = None,
-    silhouette: str = "auto",
+    silhouette: str = "exact",
     quantile_method: str = "exact",
 ) -> FittedModel:
     """Refit the leader on train and validation together and measure it on test.
@@ -140,7 +141,7 @@ def evaluate(
     if task_type == "clustering" and leader["model_name"] != "dbscan":
         features = bench.prep.model.transform(test)
         placed = model.core.transform(features.select("features"))
-        found = measure(task_type, placed, None, silhouette, bench.training.rows)
+        found = measure(task_type, placed, None, silhouette)
         model.metrics |= {f"test_{k}": v for k, v in found.items() if k != "rank_score"}
     return model
 

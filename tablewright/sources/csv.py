@@ -43,18 +43,33 @@ def header_names(header: str, sep: str) -> list[str]:
     return names
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = False) -> DataFrame:
+# Takes fields beyond the header; no name in a header holds this character.
+SURPLUS = "\0surplus"
+
+
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a line may end within quotes: one with an odd number of them.
+
+    A parallel pass that stops at the first such line.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """Read a CSV file or folder of CSV files with the same header.
 
-    Files are split between tasks. Quoted line breaks need ``multiline=True``, which
-    keeps each file in one task.
+    Files are split between tasks, unless a quoted field goes over several lines: then each
+    file is read by one task. A record with more fields than the header fails; one with fewer has nulls.
     """
     first = spark.read.text(path).limit(1).collect()
     header = first[0][0].lstrip("﻿") if first else ""
     if not header.strip():
         return spark.createDataFrame([], T.StructType([]))
     sep = sniff_delimiter(header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in header_names(header, sep)])
+    multiline = has_quoted_breaks(spark, path)
+    names = header_names(header, sep)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
     raw = (
         spark.read.schema(schema)
         .option("sep", sep)
@@ -66,6 +81,8 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool
         .option("enforceSchema", True)
         .csv(path)
     )
+    surplus = F.raise_error(F.concat(F.lit(f"a record has more than {len(names)} fields: "), SURPLUS))
+    raw = raw.filter(F.when(F.col(SURPLUS).isNotNull(), surplus.cast("boolean")).otherwise(True)).drop(SURPLUS)
     return infer_types(raw) if infer else raw
 
 

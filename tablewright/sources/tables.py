@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .csv import has_quoted_breaks
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -15,12 +17,19 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     ``fmt="csv"`` leaves a header-bearing CSV for tools that want one.
     """
     if fmt == "csv":
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-        return df.sparkSession.read.schema(df.schema).option("header", True).option("escape", '"').csv(path)
+        write_csv(df, path)
+        broken = has_quoted_breaks(df.sparkSession, path)
+        return df.sparkSession.read.schema(df.schema).options(header=True, escape='"', multiLine=broken).csv(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """CSV with a header; blanks at the ends of a text stay."""
+    space = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', sep=sep, **space).csv(path)
+
+
 def write_splits(df: DataFrame, path: str) -> DataFrame:
     """Write a table with a ``split`` column so that each part can be read alone."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)

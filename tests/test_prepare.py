@@ -184,3 +184,21 @@ def test_join_dimensions(spark):
     fact = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     dim = spark.createDataFrame([(1, "one"), (2, "two")], "id int, name string")
     assert sorted(join_dimensions(fact, [(dim, "k", "id")]).collect()) == [(1, "x", "one"), (2, "y", "two")]
+
+
+def test_many_classes_are_numbered(spark):
+    from pyspark.sql import functions as F
+
+    from tablewright.operators.prep import class_codes, encode_labels
+
+    df = spark.range(150_000).select(((F.col("id") * 7919) % 150_000 * 3).alias("k"))
+    codes = class_codes(df, "k")
+    coded = encode_labels(df, "k", codes, "code")
+    assert coded.filter("code * 3 <> k").count() == 0 and coded.count() == 150_000
+
+
+def test_quantiles_of_few_heavy_values(spark):
+    from tablewright.operators.quantiles import quantiles
+
+    df = spark.range(6_000).selectExpr("cast(id % 2 as double) v", "cast(id as double) w")
+    assert quantiles(df, ["v", "w"], [0.5], small_distinct=1) == {"v": [0.5], "w": [2999.5]}

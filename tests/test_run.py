@@ -86,3 +86,20 @@ def test_a_failing_trial_ranks_last(spark):
     found = tune(bench, ["logistic_regression", "gradient_boosting_classifier"], 1, {"logistic_regression": {"C": [-1.0]}, "gradient_boosting_classifier": {"n_estimators": [2]}})
     assert [t["model_name"] for t in found.trials] == ["gradient_boosting_classifier", "logistic_regression"]
     assert found.trials[1]["error"] and found.best_params["logistic_regression"] == {}
+
+
+def test_empty_validation_ranks_last(spark):
+    df = spark.createDataFrame([(float(i), float(i)) for i in range(30)], "x double, y double")
+    bench = prepare("regression", df, df.limit(0), "y")
+    found = tune(bench, ["ridge_regression"], 1).trials[0]
+    assert "error" not in found and found["rank_score"] == float("-inf")
+
+
+def test_silhouettes_have_names_of_their_own(spark):
+    from tablewright.plans.fitting import measure
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([float(i % 2 * 9), i / 10]), i % 2) for i in range(20)], ["features", "prediction"])
+    exact, squared = (measure("clustering", df, None, kind) for kind in ("exact", "squared"))
+    assert exact["silhouette"] == exact["rank_score"] and exact["silhouette_squared"] is None
+    assert squared["silhouette_squared"] == squared["rank_score"] and squared["silhouette"] is None

@@ -94,3 +94,29 @@ def test_registry(spark, tmp_path):
     better = {(r["task_type"], r["target"], r["rank_score"]): r["is_better"] for r in registry.improvements(runs, tries).collect()}
     assert list(better.values()).count(True) == 2
     assert better["regression", "y", -0.5] and better["regression", "z", -9.0]
+
+
+def test_quoted_line_breaks_are_found(spark, tmp_path):
+    df = read_csv(spark, csv_file(tmp_path, 'id,t\n1,"line one\nline two, ""quoted"""\n2,plain\n'))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, 'line one\nline two, "quoted"'), (2, "plain")]
+    assert df.schema["id"].dataType.simpleString() == "bigint"
+
+
+def test_ragged_rows(spark, tmp_path):
+    with pytest.raises(Exception, match="more than 2 fields"):
+        read_csv(spark, csv_file(tmp_path, "a,b\n1,2\n1,2,EXTRA\n"), infer=False).count()
+    assert read_csv(spark, csv_file(tmp_path, "a,b\n1\n")).first()["b"] is None
+
+
+def test_csv_stage_keeps_texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, ' a\n"b", c '), (2, "plain")], "i int, t string")
+    assert write_stage(df, f"{tmp_path}/s", "csv").orderBy("i").collect() == df.collect()
+
+
+def test_record_run(spark, tmp_path):
+    run = {"run_id": "a", "created_at": None, "task_type": "regression", "target": "y", "model_name": "m", "rank_score": 1.0}
+    path = f"{tmp_path}/runs"
+    assert registry.record_run(spark, path, run) == ("empty", True)
+    assert registry.record_run(spark, path, {**run, "run_id": "b", "rank_score": 0.5}) == ("loaded", False)
+    assert registry.record_run(spark, path, {**run, "run_id": "c", "target": "z"}) == ("incompatible", True)
+    assert registry.read_registry(spark, path).count() == 3

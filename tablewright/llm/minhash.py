@@ -31,7 +31,7 @@ WORDS64 = PERMUTATIONS // 64
 #: Standard errors by which an estimate may fall short of the threshold.
 MARGIN = 5.0
 #: Members of a bucket compared at once.
-TILE = 512
+TILE = 256
 
 _A = (randoms(PERMUTATIONS, 11) >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
 _B = (randoms(PERMUTATIONS, 13) >> np.uint64(24)).astype(np.uint32)
@@ -122,20 +122,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _across(least: int, tile: int):
-    """Pairs of a tile that lie in different components and whose kept bits agree often enough."""
+def _across(least: int, similar: tuple[int, int]):
+    """Confirmed links of a tile between different components, no more than join them.
+
+    Pairs whose kept bits agree often enough are confirmed on their sets, unless links found before have joined their components.
+    """
+    low, of = similar
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
         # Unsigned: bits of a negative number would be counted in its absolute value.
         a, b = (np.array(x["bits"].tolist(), np.int64).reshape(-1, BITS * WORDS64).view(np.uint64) for x in (left, right))
-        out = []
-        for i in range(len(left)):
+        names, roots = np.unique(rows["root"], return_inverse=True)
+        component = np.arange(len(names))
+        mine, theirs = roots[rows["side"] == 0], roots[rows["side"] == 1]
+        sets, nodes, out = right["shingles"].to_list(), right["node"].to_numpy(), []
+        for i, (node, own) in enumerate(zip(left["node"], left["shingles"])):
             differ = np.bitwise_count((a[i, :WORDS64] ^ b[:, :WORDS64]) | (a[i, WORDS64:] ^ b[:, WORDS64:])).sum(1)
-            near = (PERMUTATIONS - differ >= least) & (right["root"].to_numpy() != left["root"].iat[i])
-            out += [(left["node"].iat[i], m) for m in right["node"].to_numpy()[near]]
+            for k in np.flatnonzero((PERMUTATIONS - differ >= least) & (component[theirs] != component[mine[i]])):
+                x, y = component[mine[i]], component[theirs[k]]
+                if x == y:
+                    continue
+                common = len(np.intersect1d(own, sets[k], assume_unique=True))
+                if common * of >= low * (len(own) + len(sets[k]) - common):
+                    component[component == y] = x
+                    out.append((min(node, nodes[k]), max(node, nodes[k])))
         pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return compare
 
@@ -166,8 +179,8 @@ def near_duplicates(
     table as it is scanned for that (``_rows.steady``).
 
     Texts with equal sets are one node. Each node is compared with the first node of every band bucket; only buckets in which that
-    leaves several components are compared further, in tiles, and only across components. So neither copies nor a large
-    group of near copies is paired out. Sets are fetched for nodes that share a bucket only.
+    leaves several components are compared further, in tiles, and only across components; a tile returns fewer links than it has
+    components. So neither copies nor a large group of near copies is paired out. Sets are fetched for nodes that share a bucket only.
     """
     docs = steady(docs)
     kind = docs.select(F.col(row)).schema[0].dataType.simpleString()
@@ -216,16 +229,15 @@ def near_duplicates(
     )
     mixed = rooted.join(open_.select("key", "leading", "all"), "key").withColumn("out", F.col("root") != F.col("leading"))
     outside = mixed.filter("out").groupBy("key").agg(F.count(F.lit(1)).alias("outside"))
-    mixed = mixed.join(outside, "key").join(bits, "node")
+    mixed = mixed.join(outside, "key").join(bits, "node").join(sets, "node")
     parts = lambda n: F.ceil(F.col(n) / tile).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    columns = ["node", "root", "bits"]
+    columns = ["node", "root", "bits", "shingles"]
     left = mixed.filter("out").select("key", own("outside").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), *columns)
     right = mixed.select("key", every("outside").alias("i"), own("all").alias("j"), F.lit(1).alias("side"), *columns)
-    crossing = left.unionByName(right).groupBy("key", "i", "j").applyInPandas(_across(least, tile), "a bigint, b bigint").distinct()
-    more = cut_lineage(_confirm(crossing, sets, similar), "more-links")
-    links = links.unionByName(more)
+    crossing = left.unionByName(right).groupBy("key", "i", "j").applyInPandas(_across(least, similar), "a bigint, b bigint")
+    links = links.unionByName(crossing.distinct())
     roots = connected_components(links)
 
     labelled = nodes.select("h1", "h2", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import cluster_metrics, density, neighbors
 from .common import plain, table
 
 K = 5
-EPS, MIN_SAMPLES = 0.03, 5
+EPS, MIN_SAMPLES = 1.15, 5
 
 
 def _near(spark, d, k=K):
@@ -29,8 +27,7 @@ def knn_mean(spark, d):
 
 
 def density_clusters(spark, d):
-    points = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("point"))
-    return density.dbscan(points, EPS, MIN_SAMPLES, "vec_id", "point")
+    return density.dbscan(table(spark, d, "embeddings"), EPS, MIN_SAMPLES, "vec_id", "embedding")
 
 
 def metric_silhouette(spark, d):
@@ -90,9 +87,8 @@ ORACLE = {
     "vec_id) AS k, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS r FROM (SELECT vec_id, label, count(*) AS n FROM "
     f"{NEAR} GROUP BY 1, 2)) WHERE r = 1",
     "knn_mean": f"SELECT vec_id, round(avg(label), 6) AS prediction FROM {NEAR} GROUP BY 1",
-    "density_clusters": f"WITH RECURSIVE points AS (SELECT vec_id AS i, v[1] AS x, v[2] AS y FROM {E}), "
-    "near AS (SELECT a.i AS i, b.i AS j FROM points a, points b WHERE "
-    f"sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {EPS}), "
+    "density_clusters": f"WITH RECURSIVE points AS (SELECT vec_id AS i FROM embeddings), near AS (SELECT i, j FROM {PAIRS} WHERE g <= {EPS} "
+    "UNION ALL SELECT i, i FROM points), "
     f"core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= {MIN_SAMPLES}), "
     "links AS (SELECT i, j FROM near WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)), "
     "reach AS (SELECT i, i AS j FROM core UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i), "

@@ -132,7 +132,38 @@ _PARSED = r"""
     FROM pages
 """
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK = f"regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+')"
+_ALNUM = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE = {
+    "op1_minhash": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, {_BLANK} AS w FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5
+            THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM roots LEFT JOIN sizes USING (doc_id)""",
+    "op4_decontaminate": f"""
+        WITH docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+        items AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+        grams AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows))),
+        found AS (SELECT doc_id, item_id, i, k FROM grams JOIN windows USING (k, g)),
+        hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY 1),
+        hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
     "op2_url_filter": f"""
         SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM (
             SELECT page_id, host, path, list_max(list_filter([{', '.join(_sql_rule(*r) for r in URL_RULES)}], lambda x: x IS NOT NULL)) AS best

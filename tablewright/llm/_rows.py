@@ -1,7 +1,8 @@
-"""Row numbers that every job sees alike."""
+"""Row numbers that every job sees alike, and stages that leave nothing behind."""
 
 from __future__ import annotations
 
+import gc
 import re
 
 from pyspark.sql import DataFrame
@@ -21,3 +22,15 @@ def steady(df: DataFrame) -> DataFrame:
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = re.findall(r"^[\s:+\-]*(\w+)", plan, re.M)
     return df if set(nodes) <= _STEADY else cut_lineage(df, "rows")
+
+
+def tidy_cut(df: DataFrame, name: str) -> DataFrame:
+    """``cut_lineage``, after which the shuffle files of the finished job can go.
+
+    Spark removes them when the driver collects the plans that refer to them, which in a long run of large jobs
+    may be far too late for the disks.
+    """
+    out = cut_lineage(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -34,3 +34,11 @@ def tidy_cut(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stage that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

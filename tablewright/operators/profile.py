@@ -2,9 +2,8 @@
 
 Columns are counted one by one in a single job: each branch reads only its column
 from the files, groups typed values (long strings by digest), and merges them before
-the shuffle. That is several times faster than unpivoting all columns of a row, but
-reads its input once per column: give these operators a file scan or a written stage,
-not a raw join.
+the shuffle. No value is widened to a common type, but the input is read once per column:
+give these operators a file scan or a written stage, not a raw join.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage
 
@@ -24,16 +24,14 @@ def steady(df: DataFrame) -> DataFrame:
     return df if set(nodes) <= _STEADY else cut_lineage(df, "rows")
 
 
-def tidy_cut(df: DataFrame, name: str) -> DataFrame:
-    """``cut_lineage``, after which the shuffle files of the finished job can go.
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs.
 
-    Spark removes them when the driver collects the plans that refer to them, which in a long run of large jobs
-    may be far too late for the disks.
+    It does so when the driver collects the plans that refer to them, which in a long run of large jobs may be far too
+    late for the disks. Call it as a statement of its own: a plan that is still an argument is still in use.
     """
-    out = cut_lineage(df, name)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
 def discard(df: DataFrame) -> None:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..session import cut_lineage
 
@@ -24,14 +23,22 @@ def steady(df: DataFrame) -> DataFrame:
     return df if set(nodes) <= _STEADY else cut_lineage(df, "rows")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    It does so when the driver collects the plans that refer to them, which in a long run of large jobs may be far too
-    late for the disks. Call it as a statement of its own: a plan that is still an argument is still in use.
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``cut_lineage``, after which the shuffle files of the finished query go.
+
+    Otherwise they stay until the driver happens to collect its garbage, which in a run of several large queries
+    may be far too late for the disks. The written stage needs them no more.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return cut_lineage(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def discard(df: DataFrame) -> None:

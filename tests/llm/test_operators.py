@@ -420,6 +420,16 @@ def test_line_dedup_crowded_bucket(spark):
     assert gone == sum(t == "" for _, t in without_repeats(data))
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of one to seven different words are compared like any other."""
+    lines = ["Read more", "Alle Rechte vorbehalten", "版权所有", "one two three", "three one two four", "a b c d e", "a b c d f", "go", "GO go!", "---", "", "u v w x y z q"]
+    data = [(i, "\n".join([*lines[i:], *lines[:i], f"only {i}"])) for i in range(4)]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(without_repeats(data, 1))
+    texts = dict((r["doc_id"], r["text"]) for r in got)
+    assert texts[3].split("\n") == ["---", "", "only 3"]
+
+
 def test_licenses(spark):
     notice = licenses.NOTICES[6][0]
     words = notice.split()

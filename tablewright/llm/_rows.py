@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Above a scan these neither move rows between partitions nor change their order.
-_STEADY = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "SubqueryAlias"}
+#: The stored row number. Callers' tables have no column of this name.
+PLACE = "__place"
 
 
-def steady(df: DataFrame) -> DataFrame:
-    """``df``, written first when it is more than a scan.
+def steady(df: DataFrame, *columns: str) -> DataFrame:
+    """``df``, or ``columns`` of it, written once with a number for each row in ``PLACE``; as it is when it has that already.
 
-    ``monotonically_increasing_id`` gives a row of a scan the same number in every job, and again after
-    an executor was lost. Behind a shuffle the order can depend on which columns a job reads.
+    ``monotonically_increasing_id`` depends on how a job splits its input, which can follow the cores alive when the job
+    is planned, and behind a shuffle on the order of arrival. Stored, a row has the same number in every job and retry.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = re.findall(r"^[\s:+\-]*(\w+)", plan, re.M)
-    return df if set(nodes) <= _STEADY else cut_lineage(df, "rows")
+    if PLACE in df.columns:
+        return df
+    return cut_lineage((df.select(*columns) if columns else df).withColumn(PLACE, F.monotonically_increasing_id()), "rows")
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
-from ._rows import steady
+from ._rows import PLACE, steady
 from ._words import BLANK_WORDS, hashes, mix, owners, pieces, randoms, runs, texts_of, windows
 
 SHINGLE = 5
@@ -175,16 +175,16 @@ def near_duplicates(
     Rows whose shingle sets have a Jaccard similarity of at least ``similar`` are linked; ``component_id`` is the smallest
     row id that can be reached over links. ``keeper`` marks one row of each component, that with the smallest id and, of equal
     ids, the first. Null and empty texts have an empty set and are linked with nothing. A null id counts as the largest. Repeated rows are
-    copies like others. An empty table gives no row. Other columns are not read. ``place`` numbers the rows of ``docs``, which has to be a
-    table as it is scanned for that (``_rows.steady``).
+    copies like others. An empty table gives no row. Other columns are not read. ``place`` is the stored
+    number of the row (``_rows.steady``), which ``docs`` may bring along.
 
     Texts with equal sets are one node. Each node is compared with the first node of every band bucket; only buckets in which that
     leaves several components are compared further, in tiles, and only across components; a tile returns fewer links than it has
     components. So neither copies nor a large group of near copies is paired out. Sets are fetched for nodes that share a bucket only.
     """
-    docs = steady(docs)
+    docs = steady(docs, row, text)
     kind = docs.select(F.col(row)).schema[0].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("place"), F.col(row).alias("id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(PLACE).alias("place"), F.col(row).alias("id"), F.col(text).cast("string").alias("text"))
     schema = f"place bigint, id {kind}, n bigint, h1 bigint, h2 bigint, bits array<bigint>, bands array<bigint>"
     signed = cut_lineage(source.mapInArrow(_sign, schema), "signatures")
     nodes = cut_lineage(
@@ -254,7 +254,6 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, *, row: str = "doc_id", text: str = "text") -> DataFrame:
     """The ``keeper`` rows of ``docs``, with all their columns."""
-    docs = steady(docs)
-    keep = near_duplicates(docs, row=row, text=text).filter("keeper").select(F.col("place").alias("__place"))
-    numbered = docs.withColumn("__place", F.monotonically_increasing_id())
-    return numbered.join(keep, "__place", "left_semi").select(*docs.columns)
+    rows = steady(docs)
+    keep = near_duplicates(rows, row=row, text=text).filter("keeper").select(F.col("place").alias(PLACE))
+    return rows.join(keep, PLACE, "left_semi").select(*docs.columns)

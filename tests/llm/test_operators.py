@@ -430,6 +430,24 @@ def test_line_dedup_short_lines(spark):
     assert texts[3].split("\n") == ["---", "", "only 3"]
 
 
+def test_row_numbers_outlive_other_splits(spark):
+    """Jobs that split the input differently, as with fewer cores, see the same row numbers."""
+    data = [(i, f"{prose(i % 30, 40)}\n{prose(100 + i, 40)}" if i % 2 else prose(i % 30, 40)) for i in range(60)]
+    path, splits = scratch_path(spark, "test-splits"), "spark.sql.files.minPartitionNum"
+    spark.createDataFrame(data, "doc_id bigint, text string").repartition(6).write.parquet(path)
+    docs = spark.read.parquet(path)
+    try:
+        spark.conf.set(splits, "6")
+        lines, kept = line_dedup.drop_repeated_lines(docs), minhash.drop_near_duplicates(docs)
+        spark.conf.set(splits, "1")
+        got = [sorted((r["doc_id"], r["text"]) for r in x.collect()) for x in (lines, kept)]
+    finally:
+        spark.conf.unset(splits)
+    assert got[0] == sorted(without_repeats(data))
+    roots = components([shingles(t) for _, t in data])
+    assert got[1] == sorted(data[i] for i in sorted(set(roots)))
+
+
 def test_licenses(spark):
     notice = licenses.NOTICES[6][0]
     words = notice.split()

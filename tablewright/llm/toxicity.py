@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, found with an Aho-Corasick automaton over folded text.
 
 Folding undoes look-alike letters and digits put for letters. The lexicon holds whole words and word
-beginnings that labelled toxic documents use far more than others; exception phrases are pairs of words in which
-such a word is harmless. What a text matches is summed up, related to its length, and turned into a score by a
+beginnings that labelled toxic documents use far more than others; exception phrases are pairs of adjacent words in which
+such a word is harmless, as learned from the same documents: with it, an entry is in far more other documents than without. What a text matches is summed up, related to its length, and turned into a score by a
 logistic curve fitted on the same labelled documents.
 """
 
@@ -83,7 +83,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, row: str, text: str, label
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each possible entry or word pair, by label."""
+    """Documents with each possible entry, by label."""
     counts: list[Counter] = [Counter(), Counter()]
 
     def out() -> pa.RecordBatch:
@@ -124,6 +124,64 @@ def fit_lexicon(train: DataFrame) -> dict[str, float]:
     return dict(sorted(chosen.items(), key=lambda x: -x[1])[:ENTRIES])
 
 
+def _entry(word: str, lexicon: dict[str, float]) -> str | None:
+    """The entry that a word matches, the heaviest."""
+    found = [e for e in (f" {word} ", *(f" {word[:n]}" for n in BEGINNINGS)) if e in lexicon]
+    return max(found, key=lexicon.get, default=None)
+
+
+def _count_pairs(lexicon: dict[str, float]):
+    """Documents with each entry (an empty pair) and with each pair of adjacent words that holds one, by label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[Counter] = [Counter(), Counter()]
+
+        def out() -> pa.RecordBatch:
+            names = list(counts[0] | counts[1])
+            both = [pa.array([c[n] for n in names], pa.int64()) for c in counts]
+            keys = [pa.array([n[k] for n in names], pa.string()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*keys, *both], ["entry", "pair", "other", "toxic"])
+
+        for batch in batches:
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                words = fold(t).split()
+                entry = {w: _entry(w, lexicon) for w in set(words)}
+                found = {(e, "") for e in entry.values() if e}
+                for pair in set(zip(words, words[1:])):
+                    found |= {(entry[w], " ".join(pair)) for w in pair if entry[w]}
+                counts[y].update(found)
+            if len(counts[0]) + len(counts[1]) > 500_000:
+                yield out()
+                counts = [Counter(), Counter()]
+        yield out()
+
+    return run
+
+
+def fit_exceptions(train: DataFrame, lexicon: dict[str, float]) -> tuple[str, ...]:
+    """Word pairs with strong evidence for the other documents among those with the same entry, for each entry in the pair.
+
+    A pair that is as such in toxic documents more than twice as often as chance has it is none.
+    """
+    counts = train.mapInArrow(_count_pairs(lexicon), "entry string, pair string, other bigint, toxic bigint").groupBy("entry", "pair").agg(
+        F.sum("other").alias("other"), F.sum("toxic").alias("toxic")
+    )
+    base = train.agg(F.avg("label")).first()[0]
+    # At most one row for each entry of the lexicon.
+    whole = F.broadcast(counts.filter("pair = ''").select("entry", F.col("other").alias("all_other"), F.col("toxic").alias("all_toxic")))
+    pairs = counts.filter("pair <> ''").join(whole, "entry")
+    # A pair in the other documents that gives no such evidence at its best gives none at all.
+    share = F.col("all_other") / (F.col("all_other") + F.col("all_toxic"))
+    possible = (F.col("other") > 0) & (-2 * F.col("other") * F.log(F.greatest(share, F.lit(1e-9))) >= LEAST_EVIDENCE)
+    possible &= F.col("toxic") <= 2 * base * (F.col("other") + F.col("toxic"))
+    passed: dict[str, set[str]] = {}
+    for r in pairs.filter(possible).collect():
+        g, odds = _evidence(r["other"], r["toxic"], r["all_other"], r["all_toxic"])
+        if g >= LEAST_EVIDENCE and odds >= np.log(LEAST_ODDS):
+            passed.setdefault(r["pair"], set()).add(r["entry"])
+    return tuple(sorted(p for p, entries in passed.items() if {e for w in p.split() if (e := _entry(w, lexicon))} <= entries))
+
+
 class Matcher:
     """The automaton over lexicon and exception phrases, built once in each worker."""
 
@@ -148,9 +206,13 @@ class Matcher:
         spans, harmless = [], []
         for end, (size, weight) in self.automaton.iter(folded):
             (harmless if weight is None else spans).append((end + 1 - size, end + 1, weight))
-        total, last = 0.0, -1
+        total, last, passed, reach = 0.0, -1, 0, -1
+        harmless.sort(key=lambda s: s[0])
         for start, end, weight in sorted(spans, key=lambda s: (s[0], -s[2])):
-            if start == last or any(a <= start and end <= b for a, b, _ in harmless):
+            while passed < len(harmless) and harmless[passed][0] <= start:
+                reach = max(reach, harmless[passed][1])
+                passed += 1
+            if start == last or end <= reach:
                 continue  # one match for each word, the heaviest
             last = start
             total += weight
@@ -180,7 +242,8 @@ def score_toxicity(
 
     ``score`` is between 0 and 1, higher for texts that are likelier toxic; ``matched`` is the sum of the weights. Only labels of
     rows outside the held-out fold are used, at most ``labelled`` of them; a null label or id is none, of repeated
-    labels the highest counts. Null and empty texts match nothing and get the score of no match, the lowest. Without labels of both kinds
+    labels the highest counts. Null and empty texts match nothing and get the score of no match, the lowest. ``exceptions`` are
+    phrases to be taken as harmless besides those that are learned. Without labels of both kinds
     every score is 0. Rows with equal values each give a row; null row ids stay null and are not held out. Other columns are not read.
 
     The labels and two numbers of each fitted document are all that passes the driver; scoring is a scan without shuffle.
@@ -189,6 +252,7 @@ def score_toxicity(
     lexicon = fit_lexicon(train)
     beta = None
     if lexicon:
+        exceptions = (*exceptions, *fit_exceptions(train, lexicon))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(lexicon, exceptions)

@@ -380,6 +380,26 @@ def test_toxicity_held_out(spark):
     assert {x["score"] for x in nothing.collect()} == {0.0}
 
 
+def test_toxicity_learns_exceptions(spark):
+    """A pair in which a lexicon word is harmless takes back its weight without being named."""
+    r = random.Random(5)
+    data, labels = [], []
+    for i in range(1500):
+        words = prose(i, 60).split()
+        if i % 5 == 0:
+            words.insert(r.randrange(60), r.choice(["moron", "scumbag"]))
+        elif i % 25 == 1:
+            words.insert(r.randrange(60), "moron plant")
+        data.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    data += [(2000, "a moron plant is green"), (2001, "a moron is green"), (2002, "a moron plant for a moron"), (2003, "a scumbag plant")]
+    got = toxicity.score_toxicity(spark.createDataFrame(data, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    by = {x["doc_id"]: x for x in got}
+    assert by[2000]["matched"] == 0 and by[2000]["score"] < 0.5
+    assert by[2001]["matched"] == by[2002]["matched"] > 0 and by[2003]["matched"] > 0
+    assert all((x["score"] >= 0.7) == (x["doc_id"] % 5 == 0) for x in got if x["held_out"] and x["doc_id"] < 1500)
+
+
 def without_repeats(rows, least=line_dedup.LEAST_WORDS):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     seen, out = [], {}

@@ -19,15 +19,8 @@ from ..plans.tuning import evaluate, evaluation_frame, rows_frame, tune
 from ..session import cut_lineage, scratch_path
 from .common import modeling_table, plain, table
 
-# Explicit choices that keep ensembles small (the defaults are in DEFAULTS and FULL_SPACES); the data are whole.
-PARAMS = {
-    "random_forest_classifier": {"n_estimators": 20, "max_depth": 5},
-    "random_forest_regressor": {"n_estimators": 20, "max_depth": 5},
-    "gradient_boosting_classifier": {"n_estimators": 10},
-    "gradient_boosting_regressor": {"n_estimators": 10},
-    "kmeans": {"n_clusters": 3, "n_init": 3},
-    "dbscan": {"eps": 1.15, "min_samples": 5},
-}
+# The radius in which these embeddings have neighbours; all other models run with DEFAULTS, and searches with FULL_SPACES.
+PARAMS = {"dbscan": {"eps": 1.15, "min_samples": 5}}
 TEXT_SPECS = [
     FeatureSpec("words", "text_word_count", ["text"]),
     FeatureSpec("word_length", "ratio", ["n_chars", "words"]),
@@ -78,27 +71,19 @@ def train_model(spark, d, task, name):
     return _metrics(spark, task, name, model.metrics)
 
 
-def train_neighbors_regressor(spark, d):
-    """Neighbour means on the labelled documents, where a full price table would be all pairs."""
-    split = cut_lineage(exact_split(labelled_documents(spark, d), key="doc_id").drop("text"))
-    bench = prepare("regression", parts(split, "train"), parts(split, "val"), "quality")
-    return _metrics(spark, "regression", "k_neighbors_regressor", fit_and_measure(bench, "k_neighbors_regressor").metrics)
-
-
 def tune_classification(spark, d):
     bench = _bench(spark, d, "classification")
-    found = tune(bench, ["logistic_regression", "random_forest_classifier"], 2, full=False)
+    found = tune(bench, ["logistic_regression", "random_forest_classifier"])
     return found.frame(spark, "classification")
 
 
 def tune_regression(spark, d):
-    found = tune(_bench(spark, d, "regression"), ["ridge_regression", "sgd_regressor"], 2)
+    found = tune(_bench(spark, d, "regression"), ["ridge_regression", "sgd_regressor"])
     return found.frame(spark, "regression")
 
 
 def tune_clustering(spark, d):
-    spaces = {"kmeans": {"n_clusters": [2, 3], "n_init": [3]}}
-    found = tune(_bench(spark, d, "clustering"), ["kmeans", "agglomerative_clustering"], 2, spaces)
+    found = tune(_bench(spark, d, "clustering"), ["kmeans", "agglomerative_clustering"])
     return found.frame(spark, "clustering")
 
 
@@ -124,8 +109,6 @@ def run_config(**kw) -> RunConfig:
         dataset="documents with labels",
         features=TEXT_SPECS,
         models=["logistic_regression", "random_forest_classifier"],
-        n_iter=1,
-        full_spaces=False,
         key="doc_id",
     )
     return RunConfig(**{**base, **kw})
@@ -159,7 +142,6 @@ def trial_table(spark, d):
 
 QUERIES = {f"train_{name}": partial(train_model, task=task, name=name) for task, names in MODELS.items() for name in names}
 QUERIES |= {
-    "train_k_neighbors_regressor": train_neighbors_regressor,
     "tune_classification": tune_classification,
     "tune_regression": tune_regression,
     "tune_clustering": tune_clustering,

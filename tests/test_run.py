@@ -27,6 +27,42 @@ def test_queries_equal_their_sql(spark, small, name):
     assert repr(rows_of(df.columns, df.collect())) == repr(rows_of(names, result.fetchall()))
 
 
+def test_registered_fits_are_whole(monkeypatch):
+    """Registered fits run with the default models on the table of their task, searches with the full grids."""
+    from tablewright.catalog import modelling
+    from tablewright.operators.estimators import DEFAULTS, MODELS, settings
+
+    fits, searches = [], []
+
+    class Found:
+        metrics = None
+
+        def frame(self, *_):
+            return None
+
+    def fit(bench, name, params=None):
+        fits.append((bench, name, settings(bench, name, params)))
+        return Found()
+
+    def search(bench, models, n_iter=4, spaces=None, full=True, parallelism=2):
+        searches.append((bench, n_iter, spaces, full))
+        return Found()
+
+    monkeypatch.setattr(modelling, "_bench", lambda spark, d, task: task)
+    monkeypatch.setattr(modelling, "_metrics", lambda *_: None)
+    monkeypatch.setattr(modelling, "fit_and_measure", fit)
+    monkeypatch.setattr(modelling, "tune", search)
+    for task, names in MODELS.items():
+        for name in names:
+            entry.queries()[f"train_{name}"](None, "")
+            assert fits[-1][:2] == (task, name)
+            assert name == "dbscan" or fits[-1][2] == DEFAULTS[name]
+        entry.queries()[f"tune_{task}"](None, "")
+        assert searches[-1] == (task, 4, None, True)
+    config = modelling.run_config()
+    assert config.full_spaces and config.n_iter == 4 and config.spaces is None
+
+
 def table(spark, n=120):
     # Three classes that one column tells apart, with gaps and a repeated row.
     df = spark.range(n).select(

@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More labels than a host name can have.
-MOST_LABELS = 128
 RULE_COLUMNS = "verdict string, host string, path string"
 
 
@@ -90,14 +90,14 @@ def judge_urls(
     Points and events are dealt out together in ranges of the key, with the row number as the last
     sort key, so that a host or URL with a third of all rows covers as many ranges as its share.
     What is open where a range starts comes from the last event of the ranges before it: one
-    row for each range, whatever the input. Rules are nested per host, and one host's rules are swept
-    by one task.
+    row for each range, whatever the input. The dealt points are a table in the shared folder, so that both see the
+    same ranges. Rules are nested per host, and one host's rules are swept by one task.
     """
     spark = urls.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rules = rules.select("verdict", "host", "path")
     count = F.size(_labels(F.translate("host", UPPER, LOWER)))
-    depths = [r[0] for r in rules.filter("host <> ''").select(count.alias("n")).filter(F.col("n") <= MOST_LABELS).distinct().collect()]
+    depths = [r[0] for r in rules.filter("host <> ''").select(count.alias("n")).distinct().collect()]
     pages = urls.select(
         F.monotonically_increasing_id().alias("at"),
         F.col(row).alias("row"),
@@ -113,7 +113,8 @@ def judge_urls(
     both = events.select(
         "key", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("at"), "open"
     ).unionByName(points, allowMissingColumns=True)
-    placed = both.repartitionByRange(partitions, "key", "kind", "at").withColumn("part", F.spark_partition_id())
+    # Written once: the sweep and the carry-over must see the same ranges, and each exchange samples its own bounds.
+    placed = cut_lineage(both.repartitionByRange(partitions, "key", "kind", "at").withColumn("part", F.spark_partition_id()), "url_ranges")
     # A struct around the open rule tells "nothing is open" from "no event yet".
     event = F.when(F.col("kind") == 0, F.struct("open"))
     sweep = Window.partitionBy("part").orderBy("key", "kind", "at").rowsBetween(Window.unboundedPreceding, 0)

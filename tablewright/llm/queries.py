@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import decontaminate, licenses, line_dedup, minhash, packing, quality, secrets, toxicity, url_filter, warc
+from . import decontaminate, licenses, line_dedup, manifest, minhash, packing, quality, secrets, token_counts, toxicity, url_filter, warc
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -105,6 +105,29 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_manifest(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    low = F.translate("text", url_filter.UPPER, url_filter.LOWER)
+    changed = manifest.leaf_digest(*[low if f == "text" else F.col(f) for f in FIELDS])
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = manifest.manifest(docs.withColumn("changed", F.when(hit, changed)), FIELDS, carry=["changed"])
+    found = found.withColumn("folded_root", manifest.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    proof = F.sha2(manifest.siblings(F.col("proof")), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: Most tokens of a text within the limit.
+TOKEN_LIMIT = 2048
+
+
+def op13_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    found = token_counts.count_tokens(table(spark, d, "documents"), word_bpe, blank_apart=True)
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_url_filter": op2_url_filter,
@@ -116,6 +139,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_manifest": op12_manifest,
+    "op13_token_counts": op13_token_counts,
 }
 
 
@@ -136,7 +161,49 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _BLANK = f"regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+')"
 _ALNUM = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+def _sql_leaf(text: str) -> str:
+    fields = [f"CAST({f} AS VARCHAR)" for f in [*FIELDS[:-1], text]]
+    return f"sha256({' || '.join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)})"
+
+
+def _sql_tree(name: str, levels: int = 6) -> str:
+    """CTEs over ``<name>_0 (part, id, p, d)``: ``<name>_tops (part, d)`` and ``<name>_proofs (part, id, d, proof)``.
+
+    On every level a part with several nodes has its runs p // 16 hashed; a part with one node stays as it is.
+    """
+    steps = [f"""
+        {name}_r{k} AS (SELECT part, p // 16 AS q, list(d ORDER BY p) AS ds
+            FROM (SELECT *, count(*) OVER (PARTITION BY part) AS n FROM {name}_{k}) WHERE n > 1 GROUP BY 1, 2),
+        {name}_{k + 1} AS (SELECT part, q AS p, sha256(array_to_string(ds, '')) AS d FROM {name}_r{k}
+            UNION ALL SELECT part, p, d FROM (SELECT *, count(*) OVER (PARTITION BY part) AS n FROM {name}_{k}) WHERE n = 1)""" for k in range(levels)]
+    proofs = f"SELECT part, id, d, p AS spot, [] :: STRUCT(l VARCHAR, r VARCHAR)[] AS proof FROM {name}_0"
+    for k in range(levels):
+        own = "{'l': array_to_string(ds[1:spot % 16], ''), 'r': array_to_string(ds[spot % 16 + 2:], '')}"
+        proofs = f"""SELECT a.part, id, d, spot // 16 AS spot, CASE WHEN q IS NULL THEN proof ELSE list_append(proof, {own}) END AS proof
+            FROM ({proofs}) a LEFT JOIN {name}_r{k} r ON a.part IS NOT DISTINCT FROM r.part AND spot // 16 = q"""
+    return ",".join(steps) + f", {name}_tops AS (SELECT part, d FROM {name}_{levels}), {name}_proofs AS ({proofs})"
+
+
+# CRC-32 (fixed value: its reversed polynomial) of the ASCII text of a whole number.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+_CRC = f"xor(list_reduce([4294967295] || {_CRC_BYTES}, lambda c, b: xor(c >> 8, crc_table[xor(c & 255, b) + 1])), 4294967295)"
+
 ORACLE = {
+    "op12_manifest": f"""
+        WITH leaves AS (SELECT doc_id, source, {_sql_leaf('text')} AS d, CASE WHEN {_CRC} % 5 = 0 THEN {_sql_leaf(
+            "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+            FROM documents, (SELECT {_CRC_TABLE} AS crc_table)),
+        s_0 AS (SELECT source AS part, {{'doc_id': doc_id, 'changed': changed}} AS id, d,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS p FROM leaves),{_sql_tree('s')},
+        t_0 AS (SELECT 0 AS part, part AS id, d, row_number() OVER (ORDER BY part NULLS FIRST) - 1 AS p FROM s_tops),{_sql_tree('t')},
+        found AS (SELECT s.id.doc_id AS doc_id, s.d AS leaf, t.d AS subroot, t_tops.d AS root, s.id.changed AS changed, s.proof || t.proof AS proof
+            FROM s_proofs s JOIN t_proofs t ON s.part IS NOT DISTINCT FROM t.id, t_tops),
+        folded AS (SELECT *, list_reduce([coalesce(changed, leaf)] || list_transform(proof, lambda x: x.l || '|' || x.r),
+            lambda node, x: sha256(split_part(x, '|', 1) || node || split_part(x, '|', 2))) AS folded_root FROM found)
+        SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda x: x.l || x.r), '')) AS proof_sha256,
+            folded_root, folded_root = root AS verified
+        FROM folded""",
     "op1_minhash": f"""
         WITH RECURSIVE words AS (SELECT doc_id, {_BLANK} AS w FROM documents),
         shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5

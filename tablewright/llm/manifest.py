@@ -127,8 +127,10 @@ def _tree(leaves: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def _descend(rounds: Sequence[DataFrame], above: DataFrame) -> DataFrame:
     """The blocks of the first round with ``upper``, the sibling segments above their tops.
 
-    ``above``: (part, upper) for the subroots, one row for each part. On every round one row for each block is joined.
+    ``above``: (part, upper, and more columns that are handed down) for the subroots, one row for each part. On every round
+    one row for each block is joined.
     """
+    more = [c for c in above.columns if c not in ("part", "upper")]
     above = above.withColumnsRenamed({"part": "part_"})
     handed: DataFrame | None = None
     for k in range(len(rounds) - 1, -1, -1):
@@ -140,8 +142,9 @@ def _descend(rounds: Sequence[DataFrame], above: DataFrame) -> DataFrame:
         if k == 0:
             return ends
         places = F.sequence(F.lit(0), (F.octet_length(F.col("levels")[0]) / WIDTH).cast("int") - 1)
-        each = ends.select("part", "block", "levels", "upper", F.explode(places).alias("place"))
+        each = ends.select("part", "block", "levels", "upper", *more, F.explode(places).alias("place"))
         handed = each.select(
+            *more,
             F.col("part").alias("part_"),
             (F.col("block") * BLOCK + F.col("place")).alias("block_"),
             F.concat(_siblings(F.col("levels"), F.col("place")), F.col("upper")).alias("upper"),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import decontaminate, licenses, line_dedup, manifest, minhash, packing, quality, secrets, token_counts, toxicity, url_filter, warc
+from . import (
+    decontaminate, licenses, line_dedup, manifest, minhash, packing, periodic_runs, quality, secrets, token_counts, toxicity, url_filter, warc,
+)
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -105,6 +107,46 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _let(value, body):
+    """``body`` of a value that is computed once, where columns would be computed at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeating(text, doc_id):
+    """The texts of the contract: of a tenth of the documents, words from some place on repeat what stands there."""
+    h = F.crc32(doc_id.cast("string"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def shaped(v):
+        n = F.size(v["words"])
+        a = v["g"] % n
+        return F.struct(v["words"].alias("words"), a.cast("int").alias("a"), (1 + F.floor((n - a) / (3 + v["g"] % 8))).cast("int").alias("p"))
+
+    def word(v):
+        return lambda w, i: F.when(i < v["a"], w).otherwise(F.get(v["words"], v["a"] + (i - v["a"]) % v["p"]))
+
+    changed = _let(F.struct(words.alias("words"), F.floor(h / 10).alias("g")), lambda v: F.when(F.size(v["words"]) > 0, F.array_join(
+        _let(shaped(v), lambda v: F.transform(v["words"], word(v))), " ")))
+    return F.when(h % 10 == 0, F.coalesce(changed, text)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", _repeating(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("longest.back")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.short")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.short")).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -139,6 +181,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_manifest": op12_manifest,
     "op13_token_counts": op13_token_counts,
 }

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pair_corr
 from ..functions.types import as_double, clean_value, numeric_columns
+from .gram import correlations
 from .quantiles import iqr_bounds
 
-# Pairs per aggregate: more make generated code too long to be compiled. Very wide
-# tables take longer aggregates, so that the plan keeps at most MAX_AGGREGATES of them.
-PAIRS_PER_AGGREGATE = 12
-MAX_AGGREGATES = 200
-
 
 def _one_row_to_long(row: DataFrame, names: list[str], column: str, value: str) -> DataFrame:
     """Turn an aggregate's single row with fields ``c0..cn`` into named lines."""
@@ -62,27 +57,9 @@ def leakage_columns(df: DataFrame, target: str, threshold: float = 0.98) -> Data
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(x, y, corr)`` for all pairs of numeric columns, both orders.
 
-    The pairs are aggregated in batches, each reading only the columns it needs.
+    Pairwise complete, from one scan (``gram.py``).
     """
-    names = columns or numeric_columns(df)
-    full = _full_columns(df, names)
-    pairs = list(combinations_with_replacement(names, 2))
-    size = max(PAIRS_PER_AGGREGATE, -(-len(pairs) // MAX_AGGREGATES))
-    batches = [pairs[i : i + size] for i in range(0, len(pairs), size)]
-    parts = []
-    for batch in batches:
-        row = df.agg(
-            *[
-                pair_corr(as_double(df, x), as_double(df, y), x in full, y in full).alias(f"c{i}")
-                for i, (x, y) in enumerate(batch)
-            ]
-        )
-        entries = []
-        for i, (x, y) in enumerate(batch):
-            for a, b in {(x, y), (y, x)}:
-                entries.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("corr")))
-        parts.append(row.select(F.inline(F.array(*entries))))
-    return reduce(DataFrame.unionAll, parts)
+    return correlations(df, columns or numeric_columns(df))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
@@ -11,16 +12,19 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.common import _py2java
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .density import dbscan
+from .forest import ForestModel, fit_forest
+from .gram import NormalEquations
 from .neighbors import knn_join, mean
 
 SEED = 42
@@ -89,8 +93,7 @@ DEFAULTS = {
     "dbscan": {"eps": 0.7, "min_samples": 10},
 }
 
-DEEPEST_TREE = 30  # Spark's limit stands for "no limit"
-NORMAL_SOLVER_FEATURES = 4096  # the normal equations take no more
+NORMAL_EQUATION_FEATURES = 1024  # of wider tables the products are not brought together
 
 
 def settings(task_type: str, model_name: str, params: Mapping | None = None) -> dict:
@@ -113,37 +116,31 @@ class Training:
         row = self.data.agg(F.stddev_pop("label").alias("p"), F.stddev_samp("label").alias("s")).first()
         return row["p"] or 0.0, row["s"] or 0.0
 
+    @cached_property
     def width(self) -> int:
         return int(self.data.select(F.size(vector_to_array("features")).alias("d")).first()["d"])
 
+    @cached_property
+    def equations(self) -> NormalEquations:
+        """One scan, for all penalties of a search."""
+        return NormalEquations(self.data, self.width)
+
 
 def build_estimator(model_name: str, s: Mapping, training: Training):
     """The MLlib estimator of a model name, penalties rescaled to MLlib's objective."""
     n, many = training.rows, training.classes is not None and len(training.classes) > 2
-    depth = DEEPEST_TREE if s.get("max_depth") is None else int(s["max_depth"])
     if model_name == "logistic_regression":
         return LogisticRegression(regParam=1 / (s["C"] * n), standardization=False, maxIter=s["max_iter"])
     if model_name == "linear_svc":
         svc = LinearSVC(regParam=1 / (s["C"] * n), standardization=False, maxIter=s["max_iter"])
         return OneVsRest(classifier=svc) if many else svc
-    if model_name == "random_forest_classifier":
-        return RandomForestClassifier(
-            numTrees=s["n_estimators"], maxDepth=depth, featureSubsetStrategy="sqrt", seed=SEED
-        )
     if model_name == "gradient_boosting_classifier":
-        gbt = GBTClassifier(maxIter=s["n_estimators"], stepSize=s["learning_rate"], maxDepth=depth, seed=SEED)
+        gbt = GBTClassifier(maxIter=s["n_estimators"], stepSize=s["learning_rate"], maxDepth=s["max_depth"], seed=SEED)
         return OneVsRest(classifier=gbt) if many else gbt
     if model_name == "ridge_regression":
-        # MLlib divides the loss by n and works on the label scaled by its deviation:
-        # population deviation in the normal equations, sample deviation in L-BFGS.
-        population, sample = training.label_spread()
-        normal = training.width() <= NORMAL_SOLVER_FEATURES
-        return LinearRegression(
-            solver="normal" if normal else "l-bfgs",
-            elasticNetParam=0.0,
-            standardization=False,
-            regParam=s["alpha"] * (population if normal else sample) / n,
-        )
+        # Too wide for normal equations. MLlib divides the loss by n and works on the label scaled by its sample deviation.
+        _, sample = training.label_spread()
+        return LinearRegression(solver="l-bfgs", elasticNetParam=0.0, standardization=False, regParam=s["alpha"] * sample / n)
     if model_name == "sgd_regressor":
         _, sample = training.label_spread()
         l1, l2 = s["alpha"] * s["l1_ratio"], s["alpha"] * (1 - s["l1_ratio"]) * sample
@@ -154,15 +151,31 @@ def build_estimator(model_name: str, s: Mapping, training: Training):
             regParam=l1 + l2,
             elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0,
         )
-    if model_name == "random_forest_regressor":
-        return RandomForestRegressor(numTrees=s["n_estimators"], maxDepth=depth, featureSubsetStrategy="all", seed=SEED)
     if model_name == "gradient_boosting_regressor":
-        return GBTRegressor(maxIter=s["n_estimators"], stepSize=s["learning_rate"], maxDepth=depth, seed=SEED)
+        return GBTRegressor(maxIter=s["n_estimators"], stepSize=s["learning_rate"], maxDepth=s["max_depth"], seed=SEED)
     if model_name == "agglomerative_clustering":
         return BisectingKMeans(k=s["n_clusters"], seed=SEED)
     raise ValueError(f"no MLlib estimator for {model_name}")
 
 
+def fit_trees(task_type: str, s: Mapping, training: Training) -> ForestModel:
+    """A random forest: for classes the root of the number of features is drawn for each split, else all are tried."""
+    width = training.width
+    classes, most = (len(training.classes), max(int(width**0.5), 1)) if task_type == "classification" else (0, None)
+    depth = None if s["max_depth"] is None else int(s["max_depth"])
+    return fit_forest(
+        training.data, rows=training.rows, width=width, trees=int(s["n_estimators"]), classes=classes, depth=depth, most=most, seed=SEED
+    )
+
+
+def fit_ridge(alpha: float, training: Training) -> LinearRegressionModel:
+    """The ridge solution of the normal equations as an MLlib model, which scores, saves and loads like any other."""
+    slope, intercept = training.equations.ridge(alpha)
+    sc = training.data.sparkSession.sparkContext
+    java = sc._jvm.org.apache.spark.ml.regression.LinearRegressionModel("ridge", _py2java(sc, Vectors.dense(slope)), intercept)
+    return LinearRegressionModel(java)
+
+
 def fit_kmeans(s: Mapping, training: Training) -> Model:
     """K-means from several starts, the one with the lowest cost."""
     starts = [KMeans(k=s["n_clusters"], seed=SEED + i, maxIter=300, tol=1e-4) for i in range(int(s["n_init"]))]
@@ -210,6 +223,10 @@ def fit_model(task_type: str, model_name: str, params: Mapping | None, training:
     if model_name == "dbscan":
         labels = dbscan(training.data, float(s["eps"]), int(s["min_samples"]), "row_id", "features")
         return DensityModel(cut_lineage(labels.select("row_id", F.col("cluster").alias("prediction")), "labels"))
+    if model_name.startswith("random_forest"):
+        return fit_trees(task_type, s, training)
+    if model_name == "ridge_regression" and training.width <= NORMAL_EQUATION_FEATURES:
+        return fit_ridge(float(s["alpha"]), training)
     if model_name == "kmeans":
         return fit_kmeans(s, training)
     return build_estimator(model_name, s, training).fit(training.data)

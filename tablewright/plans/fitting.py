@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.types import as_double
 from ..operators import cluster_metrics, metrics
 from ..operators.estimators import DensityModel, NeighborModel, Training, fit_model, with_score
+from ..operators.forest import ForestModel, load_forest, save_forest
 from ..operators.prep import Preprocessor, encode_labels, fit_preprocessor, label_classes
 from ..sources.artifacts import load_model, read_artifact, save_model, write_artifact
 from ..session import cut_lineage
@@ -134,14 +135,14 @@ class FittedModel:
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``prediction`` and, for classes, ``predicted_label`` and ``score``.
 
-        Batch scoring: one pass, except for neighbour models, which number and write the
+        Batch scoring: one pass, except for neighbour models and forests, which number and write the
         rows first.
         """
         if isinstance(self.core, DensityModel):
             raise ValueError("a density clustering has no predictions for new rows")
         # The row travels whole, so that its columns meet none of the model's.
         features = self.prep.model.transform(df.withColumn("__row", F.struct("*"))).select("__row", "features")
-        if isinstance(self.core, NeighborModel):
+        if isinstance(self.core, (NeighborModel, ForestModel)):
             features = cut_lineage(features.withColumn("row_id", F.monotonically_increasing_id()), "scoring")
         out = with_score(self.core.transform(features), self.classes)
         keep = [F.col("prediction").cast("double").alias("prediction")]
@@ -152,11 +153,13 @@ class FittedModel:
 
     def save(self, path: str) -> str:
         spark = SparkSession.active()
-        kind = {NeighborModel: "neighbors", DensityModel: "density"}.get(type(self.core), "mllib")
+        kind = {NeighborModel: "neighbors", DensityModel: "density", ForestModel: "forest"}.get(type(self.core), "mllib")
         stages = list(self.prep.stages) + ([self.core] if kind == "mllib" else [])
         save_model(PipelineModel(stages=stages), f"{path}/stages")
         if kind == "neighbors":
             self.core.points.write.mode("overwrite").parquet(f"{path}/points")
+        if kind == "forest":
+            save_forest(self.core, f"{path}/forest")
         if kind == "density":
             self.core.labels.write.mode("overwrite").parquet(f"{path}/labels")
         plain = None if self.classes is None else json.dumps([_plain(c) for c in self.classes])
@@ -178,6 +181,8 @@ def load_fitted(spark: SparkSession, path: str) -> FittedModel:
     params = json.loads(meta["params"])
     if meta["kind"] == "neighbors":
         core = NeighborModel(spark.read.parquet(f"{path}/points"), int(params.get("n_neighbors", 11)), classes)
+    elif meta["kind"] == "forest":
+        core = load_forest(spark, f"{path}/forest")
     elif meta["kind"] == "density":
         core = DensityModel(spark.read.parquet(f"{path}/labels"))
     else:

@@ -1,143 +1,148 @@
-"""Exact quantiles of many columns without a value map or sort of whole columns.
+"""Exact quantiles of many columns by radix selection.
 
-Spark's exact percentile keeps every distinct value of a column in one aggregation
-buffer, which is fine for columns with few distinct values only. Wider columns are
-narrowed first: approximate quantiles give an interval around each wanted rank, exact
-counts prove that the rank lies inside, and only the rows inside are ranked.
+A double becomes a 64-bit key that sorts like it. One grouped histogram counts the leading 16 bits of the keys of all columns;
+each wanted rank falls into one bucket, and the next pass counts the next 16 bits of the rows in that bucket only.
+After four passes at most, fewer where all rows of a bucket are equal, the key is known. No column is sorted or kept as a map of
+its values, and a pass moves at most 65,536 short rows for each open bucket from each task.
 """
 
 from __future__ import annotations
 
-from math import ceil, floor
+from collections.abc import Iterator
+from math import floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.types import as_double
-from .profile import sketch_distinct
 
-# Distinct values one aggregation buffer may hold; sketches err by a few percent.
-SMALL_DISTINCT = 100_000
+BITS = 16
+PASSES = 64 // BITS
+#: Histograms of one pass: 32 take 50 MB in a task.
+TABLES = 32
+#: Buckets of the sketches of ``method="approx"``.
 ACCURACY = 10_000
 
+_SIGN = np.uint64(1 << 63)
+_COUNTS = "grp int, digit int, n bigint, low bigint, high bigint"
+
+
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """Unsigned keys in the order of the values; -0.0 counts as 0.0."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def value_of(key: int) -> float:
+    """The value of a key."""
+    sign = 1 << 63
+    bits = key ^ sign if key & sign else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
 
 def quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probabilities: list[float],
-    method: str = "exact",
-    small_distinct: int = SMALL_DISTINCT,
+    df: DataFrame, columns: list[str], probabilities: list[float], method: str = "exact"
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; None for a column without values.
 
-    ``method="approx"`` takes Spark's sketch quantiles in one pass instead.
+    Null and NaN are left out. ``method="approx"`` takes Spark's sketch quantiles in one pass instead.
     """
     if not columns:
         return {}
     values = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    index = range(len(columns))
     if method == "approx":
-        row = values.agg(*[F.percentile_approx(f"v{i}", probs, ACCURACY).alias(f"q{i}") for i in index]).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)}
+        probs = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = values.agg(*[F.percentile_approx(c, probs, ACCURACY).alias(c) for c in values.columns]).first()
+        return {c: list(row[f"v{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)}
     if method != "exact":
         raise ValueError(f"unknown quantile method: {method}")
-
-    # Few rows cannot hold many values; otherwise sketches tell which columns do.
-    rows = values.count()
-    narrow, wide = list(index), []
-    if rows > small_distinct:
-        sizes = values.agg(
-            *[sketch_distinct(F.col(f"v{i}")).alias(f"d{i}") for i in index],
-            *[F.count(f"v{i}").alias(f"n{i}") for i in index],
-        ).first()
-        narrow = [i for i in index if (sizes[f"d{i}"] or 0) <= small_distinct]
-        wide = [i for i in index if (sizes[f"d{i}"] or 0) > small_distinct]
-    result: dict[str, list[float | None]] = {}
-    if narrow:
-        row = values.agg(*[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in narrow]).first()
-        for i in narrow:
-            result[columns[i]] = list(row[f"q{i}"] or [None] * len(probabilities))
-    if wide:
-        found = _wide_quantiles(values, {i: sizes[f"n{i}"] for i in wide}, probabilities, small_distinct)
-        for i in wide:
-            result[columns[i]] = found[i]
-    return result
-
-
-def _wide_quantiles(
-    values: DataFrame, counts: dict[int, int], probabilities: list[float], limit: int
-) -> dict[int, list[float]]:
-    # One search per (column, probability): the closed interval [low, high] of values
-    # still in doubt, with `below` rows under low.
-    searches = [
-        {"i": i, "p": p, "k": (n - 1) * p, "low": None, "high": None, "below": 0, "inside": n}
-        for i, n in counts.items()
-        for p in probabilities
-    ]
-
-    def inside(s):
-        value = F.col(f"v{s['i']}")
-        keep = value.isNotNull()
-        if s["low"] is not None:
-            keep = keep & (value >= s["low"])
-        if s["high"] is not None:
-            keep = keep & (value <= s["high"])
-        return F.when(keep, value)
-
-    narrower = True
-    while narrower:
-        # An interval of one repeated value is settled, however many rows hold it. One that no round makes smaller
-        # consists of a few values with many rows each.
-        narrower = False
-        active = [s for s in searches if s["inside"] > limit and (s["low"] is None or s["low"] < s["high"])]
-        if not active:
+    found = _select(values, [float(p) for p in probabilities])
+    return {c: [found.get((i, p)) for p in range(len(probabilities))] for i, c in enumerate(columns)}
+
+
+def _histograms(values: DataFrame, groups: list[tuple[int, int]], depth: int) -> DataFrame:
+    """``(grp, digit, n, low, high)``: rows, and least and largest key, for each digit of the keys with a group's (column, prefix)."""
+    rest = 64 - BITS * (depth + 1)
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for g, (column, prefix) in enumerate(groups):
+        wanted.setdefault(column, []).append((g, prefix))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(groups), 1 << BITS), np.int64)
+        low, high = np.full_like(n, np.iinfo(np.uint64).max, np.uint64), np.zeros_like(n, np.uint64)
+        for batch in batches:
+            for place, column in enumerate(wanted):
+                part = np.sort(keys_of(np.asarray(batch.column(place).drop_null(), np.float64)))
+                for g, prefix in wanted[column]:
+                    keys = part
+                    if depth:
+                        shift = np.uint64(rest + BITS)
+                        a, b = np.searchsorted(part >> shift, [np.uint64(prefix), np.uint64(prefix + 1)])
+                        keys = part[a:b]
+                    if not len(keys):
+                        continue
+                    digit = ((keys >> np.uint64(rest)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                    first = np.flatnonzero(np.r_[True, digit[1:] != digit[:-1]])
+                    last = np.r_[first[1:], len(digit)] - 1
+                    d = digit[first]
+                    n[g, d] += last - first + 1
+                    low[g, d] = np.minimum(low[g, d], keys[first])
+                    high[g, d] = np.maximum(high[g, d], keys[last])
+        g, d = np.nonzero(n)
+        signed = lambda k: (k[g, d] ^ _SIGN).view(np.int64)
+        arrays = [pa.array(g, pa.int32()), pa.array(d, pa.int32()), pa.array(n[g, d]), pa.array(signed(low)), pa.array(signed(high))]
+        yield pa.RecordBatch.from_arrays(arrays, ["grp", "digit", "n", "low", "high"])
+
+    counts = values.select(*[f"v{c}" for c in wanted]).mapInArrow(count, _COUNTS)
+    return counts.groupBy("grp", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _select(values: DataFrame, probabilities: list[float]) -> dict[tuple[int, int], float]:
+    """``{(column, place of the probability): quantile}`` for the columns that have values."""
+    # A search: (column, probability, 0 for the lower and 1 for the upper neighbour) -> prefix of the key, rank within it.
+    searches = {(i, p, side): (0, None) for i in range(len(values.columns)) for p in range(len(probabilities)) for side in (0, 1)}
+    spark, keys, totals = values.sparkSession, {}, {}
+    for depth in range(PASSES):
+        groups = sorted({(i, prefix) for (i, _, _), (prefix, _) in searches.items()})
+        hits = {}
+        for at in range(0, len(groups), TABLES):
+            some = groups[at : at + TABLES]
+            number = {g: k for k, g in enumerate(some)}
+            asked = [
+                (number[i, prefix], i, p, side, probabilities[p], rank)
+                for (i, p, side), (prefix, rank) in searches.items()
+                if (i, prefix) in number
+            ]
+            asked = spark.createDataFrame(asked, "grp int, i int, p int, side int, probability double, rank bigint")
+            group = W.partitionBy("grp")
+            upto = F.sum("n").over(group.orderBy("digit").rowsBetween(W.unboundedPreceding, 0))
+            ranked = _histograms(values, some, depth).select("*", upto.alias("upto"), F.sum("n").over(group).alias("total"))
+            place = (F.col("total") - 1) * F.col("probability")
+            rank = F.coalesce("rank", F.when(F.col("side") == 0, F.floor(place)).otherwise(F.ceil(place)))
+            found = ranked.join(F.broadcast(asked), "grp").withColumn("rank", rank)
+            found = found.filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+            for r in found.collect():  # one row for each search
+                hits[r["i"], r["p"], r["side"]] = r
+                totals.setdefault(r["i"], r["total"])
+        searches = {}
+        for search, r in hits.items():
+            if r["low"] == r["high"]:
+                keys[search] = r["low"] + (1 << 63)
+            else:
+                prefix = (r["low"] + (1 << 63)) >> (64 - BITS * (depth + 1))
+                searches[search] = (prefix, r["rank"] - (r["upto"] - r["n"]))
+        if not searches:
             break
-        margin = 2.0 / ACCURACY
-        asks = []
-        for j, s in enumerate(active):
-            at = (s["k"] - s["below"]) / max(s["inside"] - 1, 1)
-            around = F.array(F.lit(max(at - margin, 0.0)), F.lit(min(at + margin, 1.0)))
-            asks.append(F.percentile_approx(inside(s), around, ACCURACY).alias(f"s{j}"))
-        bounds = values.agg(*asks).first()
-        checks = []
-        for j, s in enumerate(active):
-            low, high = bounds[f"s{j}"]
-            value = F.col(f"v{s['i']}")
-            checks.append(F.count(F.when(value < low, 1)).alias(f"b{j}"))
-            checks.append(F.count(F.when((value >= low) & (value <= high), 1)).alias(f"n{j}"))
-        seen = values.agg(*checks).first()
-        for j, s in enumerate(active):
-            low, high = bounds[f"s{j}"]
-            below, n = seen[f"b{j}"], seen[f"n{j}"]
-            # Both neighbours of the rank must lie inside, else keep the old interval.
-            if below <= floor(s["k"]) and ceil(s["k"]) < below + n and n < s["inside"]:
-                narrower = True
-                s.update(low=low, high=high, below=below, inside=n)
-
-    entries = [
-        F.struct(F.lit(j).alias("search"), inside(s).alias("value")) for j, s in enumerate(searches)
-    ]
-    counted = (
-        values.select(F.inline(F.array(*entries)))
-        .filter(F.col("value").isNotNull())
-        .groupBy("search", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = F.sum("n").over(W.partitionBy("search").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    ranks = F.array(*[F.array(F.lit(floor(s["k"]) - s["below"]), F.lit(ceil(s["k"]) - s["below"])) for s in searches])
-    ranked = counted.withColumn("upto", upto).withColumn("want", F.element_at(ranks, F.col("search") + 1))
-    hit = ranked.groupBy("search").agg(
-        F.min(F.when(F.col("upto") > F.col("want")[0], F.col("value"))).alias("lower"),
-        F.min(F.when(F.col("upto") > F.col("want")[1], F.col("value"))).alias("upper"),
-    )
-    edges = {r["search"]: (r["lower"], r["upper"]) for r in hit.collect()}
-    found: dict[int, list[float]] = {i: [] for i in counts}
-    for j, s in enumerate(searches):
-        lower, upper = edges[j]
-        found[s["i"]].append(lower + (upper - lower) * (s["k"] - floor(s["k"])))
-    return found
+    result = {}
+    for i, n in totals.items():
+        for p, probability in enumerate(probabilities):
+            lower, upper = (value_of(keys[i, p, side]) for side in (0, 1))
+            place = (n - 1) * probability
+            result[i, p] = lower if lower == upper else lower + (upper - lower) * (place - floor(place))
+    return result
 
 
 def iqr_bounds(

@@ -201,4 +201,4 @@ def test_quantiles_of_few_heavy_values(spark):
     from tablewright.operators.quantiles import quantiles
 
     df = spark.range(6_000).selectExpr("cast(id % 2 as double) v", "cast(id as double) w")
-    assert quantiles(df, ["v", "w"], [0.5], small_distinct=1) == {"v": [0.5], "w": [2999.5]}
+    assert quantiles(df, ["v", "w"], [0.5]) == {"v": [0.5], "w": [2999.5]}

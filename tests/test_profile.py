@@ -134,6 +134,6 @@ def test_wide_quantiles_are_exact(spark, kind):
     values = [draw() for _ in range(4001)]
     df = spark.createDataFrame([(v, -v) for v in values], "a double, b double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = quantiles(df, ["a", "b"], probs, small_distinct=40)
+    got = quantiles(df, ["a", "b"], probs)
     for name, sign in (("a", 1), ("b", -1)):
         assert got[name] == pytest.approx(list(np.quantile(sign * np.array(values), probs)), abs=1e-12)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .csv import has_quoted_breaks
+from .csv import has_quoted_breaks, parse_records, quoted_records
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,8 +18,9 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """
     if fmt == "csv":
         write_csv(df, path)
-        broken = has_quoted_breaks(df.sparkSession, path)
-        return df.sparkSession.read.schema(df.schema).options(header=True, escape='"', multiLine=broken).csv(path)
+        if has_quoted_breaks(df.sparkSession, path):
+            return parse_records(quoted_records(df.sparkSession, path), df.schema)
+        return df.sparkSession.read.schema(df.schema).options(header=True, escape='"').csv(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -3,7 +3,7 @@ import pytest
 from tablewright.plans import registry
 from tablewright.session import scratch_path, shared_dir
 from tablewright.sources.artifacts import read_artifact, write_artifact
-from tablewright.sources.csv import header_names, read_csv, sniff_delimiter
+from tablewright.sources.csv import header_names, quoted_records, read_csv, sniff_delimiter
 from tablewright.sources.tables import read_split, write_splits, write_stage
 
 
@@ -120,3 +120,44 @@ def test_record_run(spark, tmp_path):
     assert registry.record_run(spark, path, {**run, "run_id": "b", "rank_score": 0.5}) == ("loaded", False)
     assert registry.record_run(spark, path, {**run, "run_id": "c", "target": "z"}) == ("incompatible", True)
     assert registry.read_registry(spark, path).count() == 3
+
+
+def odd_csv(tmp_path, n):
+    import csv
+    import random
+
+    r = random.Random(n)
+    rows = [(i, "".join(r.choice(["a", '"', ",", "\n", "\r\n", " ", "é"]) for _ in range(r.randrange(30)))) for i in range(n)]
+    with open(tmp_path / "odd.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        out.writerow(["id", "te\nxt"])
+        out.writerows(rows)
+    return str(tmp_path / "odd.csv"), rows
+
+
+@pytest.mark.parametrize("size", [97, 1_500, 1 << 20])
+def test_quoted_breaks_in_any_byte_range(spark, tmp_path, size):
+    """One file read in many byte ranges, most of which begin within quotes or within a record."""
+    path, rows = odd_csv(tmp_path, 60 if size < 100 else 700)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        df = read_csv(spark, path)
+        assert df.columns == ["id", "te\nxt"] and df.schema["id"].dataType.simpleString() == "bigint"
+        assert sorted(map(tuple, df.collect())) == [(i, t if t.strip() or t else None) for i, t in rows]
+        ranges = quoted_records(spark, path).count()
+        assert ranges == len(rows) + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quoted_breaks_in_several_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.csv").write_text(f'a,"b\nc"\n{k},"x\ny{k}"\n{k + 10},z\n\n', encoding="utf-8")
+    df = read_csv(spark, str(folder))
+    assert df.columns == ["a", "b\nc"]
+    assert sorted(map(tuple, df.collect())) == [(0, "x\ny0"), (1, "x\ny1"), (2, "x\ny2"), (10, "z"), (11, "z"), (12, "z")]
+    with pytest.raises(Exception, match="more than 1 fields"):
+        read_csv(spark, csv_file(tmp_path, 'a\n"x\ny",1\n'), infer=False).count()

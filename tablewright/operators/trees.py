@@ -74,11 +74,11 @@ class Sorted:
         self.two: dict[int, tuple[float, float]] = {}
         for f in range(x.shape[1]):
             column = self.x[:, f]
-            order = np.argsort(column, kind="stable").astype(np.int32)
+            order = np.argsort(column, kind="stable")
             steps = np.r_[0, np.cumsum(np.diff(column[order]) != 0)].astype(np.int32)
             if len(steps) and steps[-1] == 1:
                 high = column[order[-1]]
-                self.upper[f], self.two[f] = np.flatnonzero(column == high).astype(np.int32), (column[order[0]], high)
+                self.upper[f], self.two[f] = np.flatnonzero(column == high), (column[order[0]], high)
             elif len(steps) and steps[-1] > 1:
                 self.order[f], self.rank[f] = order, np.empty(len(order), np.int32)
                 self.rank[f][order] = steps
@@ -94,31 +94,42 @@ def sampled(valid: np.ndarray, keys: np.ndarray, most: int, seed: int) -> np.nda
     return valid & (draw <= line[:, None])
 
 
+#: Gains that differ by less, relatively, are equal.
+TIE = 1e-9
+
+
 class _Level:
     """Running best splits of a level's nodes."""
 
     def __init__(self, nodes: int, features: int, sample: bool) -> None:
-        self.gain, self.feature, self.cut = np.full(nodes, -np.inf), np.full(nodes, LEAF, np.int32), np.zeros(nodes)
+        self.gain, self.feature, self.cut = np.full(nodes, -1.0), np.full(nodes, LEAF, np.int32), np.zeros(nodes)
         # All gains are needed only when features are drawn afterwards.
-        self.all = np.full((nodes, features), -np.inf) if sample else None
+        self.all = np.full((nodes, features), -1.0) if sample else None
         self.cuts = np.zeros((nodes, features)) if sample else None
 
     def offer(self, f: int, nodes: np.ndarray, gain: np.ndarray, cut: np.ndarray) -> None:
         if self.all is not None:
             self.all[nodes, f], self.cuts[nodes, f] = gain, cut
             return
-        better = gain > self.gain[nodes]
+        held = self.gain[nodes]
+        better = (gain > held * (1 + TIE)) | (held < 0)
         nodes = nodes[better]
         self.gain[nodes], self.feature[nodes], self.cut[nodes] = gain[better], f, cut[better]
 
     def choose(self, keys: np.ndarray, most: int, seed: int) -> None:
         if self.all is None:
             return
-        gains = np.where(sampled(self.all > -np.inf, keys, most, seed), self.all, -np.inf)
-        best = gains.argmax(axis=1)
+        gains = np.where(sampled(self.all >= 0, keys, most, seed), self.all, -1.0)
+        best = first_best(gains)
         at = np.arange(len(best))
         self.gain, self.cut = gains[at, best], self.cuts[at, best]
-        self.feature = np.where(self.gain > -np.inf, best, LEAF).astype(np.int32)
+        self.feature = np.where(self.gain >= 0, best, LEAF).astype(np.int32)
+
+
+def first_best(gains: np.ndarray) -> np.ndarray:
+    """The first place in each row whose gain equals the largest one."""
+    most = gains.max(axis=1, keepdims=True)
+    return (gains >= np.where(most > 0, most * (1 - TIE), most)).argmax(axis=1)
 
 
 def _centre(y: np.ndarray, weight: np.ndarray) -> float:
@@ -128,16 +139,11 @@ def _centre(y: np.ndarray, weight: np.ndarray) -> float:
     return float(np.round(mean / step) * step) if np.isfinite(mean / step) else float(mean)
 
 
-def _squares(side: np.ndarray, side_w: np.ndarray, whole: np.ndarray, whole_w: np.ndarray) -> np.ndarray:
-    """The sum that a split makes larger; the same for both sides, so that mirrored splits tie."""
-    return side * side / side_w + (whole - side) ** 2 / (whole_w - side_w)
-
-
-def _first_best(gain: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _first_of_runs(gain: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each run of equal ``node`` the place of its largest gain, the first of equal ones; and the nodes."""
     start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    length = np.diff(np.r_[start, len(node)])
-    best = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, start), length))
+    most = np.maximum.reduceat(gain, start) * (1 - TIE)
+    best = np.flatnonzero(gain >= np.repeat(most, np.diff(np.r_[start, len(node)])))
     first = np.r_[True, node[best[1:]] != node[best[:-1]]]
     return best[first], node[start]
 
@@ -151,6 +157,9 @@ def grow(
     ``outputs`` (outputs x rows) are what leaves average and what splits make less varied: the label itself, or an
     indicator for each class, for which the variance is half the Gini impurity. The split with the largest gain is taken, of equal ones
     that of the first feature and the lowest cut. ``most``: how many features are drawn for each node.
+
+    Rows stand sorted by each feature within their node. With outputs centred in every node, a split gains
+    L² / (l · (w - l)) times the node's weight w, where l and L are weight and sum on one side; both are running sums.
     """
     x, width = data.x, data.x.shape[1]
     most = width if most is None else most
@@ -158,11 +167,13 @@ def grow(
     weight = weights.astype(np.float64)
     shift = [_centre(y[inside], weight[inside]) for y in outputs]
     parts = [weight * (y - s) for y, s in zip(outputs, shift)]  # weighted outputs, centred against cancellation
-    rows = np.flatnonzero(inside).astype(np.int32)
+    rows = np.flatnonzero(inside)  # indices are as wide as NumPy wants them, or each use would widen them
     order = {f: o[inside[o]] for f, o in data.order.items()}
     upper = {f: u[inside[u]] for f, u in data.upper.items()}
-    node_of = np.full(len(weights), -1, np.int32)
+    node_of = np.full(len(weights), -1)
     node_of[rows] = 0
+    # Nodes of a level are numbered as their rows stand; ``spot`` is a node's place in level order.
+    spot = np.zeros(1, np.int64)
     counts = np.array([len(rows)])
     keys = mix(np.array([key]))
     features, cuts, values = [], [], []
@@ -172,93 +183,87 @@ def grow(
     while True:
         if depth is not None and level >= depth:
             pure = np.ones(len(pure), bool)
-        # Leaves of this level leave the arrangements; the other nodes are numbered anew.
         live = np.flatnonzero(~pure)
-        number = np.where(pure, -1, np.cumsum(~pure) - 1).astype(np.int32)
         n = len(live)
         best = _Level(n, width, most < width)
         if n:
             if pure.any():
-                node_of[rows] = number[node_of[rows]]
+                # Leaves leave the arrangements; the other nodes are numbered anew.
+                node_of[rows] = np.where(pure, -1, np.cumsum(~pure) - 1)[node_of[rows]]
                 rows = rows[node_of[rows] >= 0]
                 order = {f: o[node_of[o] >= 0] for f, o in order.items()}
                 upper = {f: u[node_of[u] >= 0] for f, u in upper.items()}
-            w, sums = total_w[live], [t[live] for t in totals]
-            node = np.repeat(np.arange(n, dtype=np.int32), counts[live])
-            base = sum(s * s for s in sums) / w
-            before_w = np.cumsum(w) - w
-            before = [np.cumsum(s) - s for s in sums]
+            w = total_w[live]
+            node = np.repeat(np.arange(n), counts[live])
+            together = node[1:] == node[:-1]
+            before = np.cumsum(w) - w
+            centred = []
+            for p, total in zip(parts, totals):
+                c = np.zeros(len(p))
+                c[rows] = p[rows] - weight[rows] * (total[live] / w)[node]
+                centred.append(c)
             for f in range(width):
-                if f in order and len(order[f]):
+                if f in order:
                     o = order[f]
                     r = data.rank[f][o]
-                    cand = np.flatnonzero((r[1:] != r[:-1]) & (node[1:] == node[:-1]))
-                    if not len(cand):
+                    place = np.flatnonzero((r[1:] != r[:-1]) & together)
+                    if not len(place):
                         continue
-                    at = node[cand]
-                    left_w = np.cumsum(weight[o])[cand] - before_w[at]
-                    gain = -base[at]
-                    for p, s, b in zip(parts, sums, before):
-                        left = np.cumsum(p[o])[cand] - b[at]
-                        gain += _squares(left, left_w, s[at], w[at])
-                    place, nodes = _first_best(gain, at)
-                    low, high = x[o[cand[place]], f], x[o[cand[place] + 1], f]
-                    best.offer(f, nodes, gain[place], midpoint(low, high))
+                    at = node[place]
+                    left = np.cumsum(weight[o])[place] - before[at]
+                    gain = sum(np.square(np.cumsum(c[o])[place]) for c in centred) / (left * (w[at] - left))
+                    found, nodes = _first_of_runs(gain, at)
+                    low, high = x[o[place[found]], f], x[o[place[found] + 1], f]
+                    best.offer(f, nodes, gain[found], midpoint(low, high))
                 elif f in upper and len(upper[f]):
                     u = upper[f]
                     at = node_of[u]
-                    right_w = np.bincount(at, weight[u], n)
-                    nodes = np.flatnonzero((right_w > 0) & (np.bincount(at, minlength=n) < counts[live]))
-                    if not len(nodes):
-                        continue
-                    gain = -base[nodes]
-                    for p, s in zip(parts, sums):
-                        gain += _squares(np.bincount(at, p[u], n)[nodes], right_w[nodes], s[nodes], w[nodes])
-                    best.offer(f, nodes, gain, np.broadcast_to(midpoint(*map(np.asarray, data.two[f])), len(nodes)))
+                    right = np.bincount(at, weight[u], n)
+                    nodes = np.flatnonzero((right > 0) & (np.bincount(at, minlength=n) < counts[live]))
+                    if len(nodes):
+                        right = right[nodes]
+                        gain = sum(np.square(np.bincount(at, c[u], n)[nodes]) for c in centred) / (right * (w[nodes] - right))
+                        best.offer(f, nodes, gain, np.broadcast_to(midpoint(*map(np.asarray, data.two[f])), len(nodes)))
             best.choose(keys[live], most, seed)
-        split = np.zeros(len(pure), bool)
-        split[live] = best.feature != LEAF
         feature = np.full(len(pure), LEAF, np.int32)
         feature[live] = best.feature
-        features.append(feature)
-        ends = np.flatnonzero(~split)
+        at = np.argsort(spot)  # from here to the cuts in level order
+        features.append(feature[at])
+        ends = at[feature[at] == LEAF]
         values.append(np.stack([t[ends] / total_w[ends] + s for t, s in zip(totals, shift)], axis=1))
-        inner = np.flatnonzero(best.feature != LEAF) if n else np.zeros(0, np.int64)
+        inner = np.flatnonzero(best.feature != LEAF)
         if not len(inner):
             return Tree(np.concatenate(features), np.concatenate([*cuts, np.zeros(0)]), np.concatenate(values))
-        cuts.append(best.cut[inner])
-        # Children of the k-th inner node of the level are numbers 2k and 2k + 1 of the next.
-        child = np.full(n, -1, np.int32)
-        child[inner] = 2 * np.arange(len(inner))
+        by_spot = np.argsort(spot[live][inner])
+        cuts.append(best.cut[inner][by_spot])
+        # The left children are numbered first, then the right ones, each in the order of their parents: so rows are dealt to
+        # children by taking the left ones and then the right ones, however many nodes there are.
+        m = len(inner)
+        place = np.empty(m, np.int64)
+        place[by_spot] = np.arange(m)
+        spot = np.r_[2 * place, 2 * place + 1]
+        child = np.full(n, -1)
+        child[inner] = np.arange(m)
         at = node_of[rows]
         now = child[at]
         right = x[rows, np.maximum(best.feature, 0)[at]] > best.cut[at]
-        node_of[rows] = np.where(now < 0, -1, now + right)
-        keys = mix(np.repeat(keys[live][inner], 2) * np.uint64(2) + np.tile(np.array([0, 1], np.uint64), len(inner)))
-        rows = _dealt(rows, node_of, len(inner))
-        order = {f: _dealt(o, node_of, len(inner)) for f, o in order.items()}
+        node_of[rows] = np.where(now < 0, -1, now + m * right)
+        keys = keys[live][inner]
+        keys = mix(np.r_[keys * np.uint64(2), keys * np.uint64(2) + np.uint64(1)])
+        rows = _dealt(rows, node_of, m)
+        order = {f: _dealt(o, node_of, m) for f, o in order.items()}
         upper = {f: u[node_of[u] >= 0] for f, u in upper.items()}
         at = node_of[rows]
-        counts = np.bincount(at, minlength=2 * len(inner))
-        total_w = np.bincount(at, weight[rows], 2 * len(inner))
-        totals = [np.bincount(at, p[rows], 2 * len(inner)) for p in parts]
+        counts = np.bincount(at, minlength=2 * m)
+        total_w = np.bincount(at, weight[rows], 2 * m)
+        totals = [np.bincount(at, p[rows], 2 * m) for p in parts]
         start = np.cumsum(counts) - counts
         shown = label[rows]
         pure = np.minimum.reduceat(shown, start) == np.maximum.reduceat(shown, start)
         level += 1
 
 
-def _dealt(rows: np.ndarray, node_of: np.ndarray, pairs: int) -> np.ndarray:
-    """Rows, grouped by parent, grouped by child instead; the order within a child stays, rows of leaves go."""
+def _dealt(rows: np.ndarray, node_of: np.ndarray, left: int) -> np.ndarray:
+    """Rows, grouped by parent, grouped by child instead (numbers below ``left`` are left children); rows of leaves go."""
     now = node_of[rows]
-    if not (now >= 0).all():
-        rows, now = rows[now >= 0], now[now >= 0]
-    right = (now & 1).astype(bool)
-    lefts, rights = rows[~right], rows[right]
-    n_left = np.bincount(now[~right] >> 1, minlength=pairs)
-    n_right = np.bincount(now[right] >> 1, minlength=pairs)
-    out = np.empty_like(rows)
-    # Left rows stand behind the right rows of all earlier pairs, right rows behind the left rows of their own as well.
-    out[np.arange(len(lefts)) + np.repeat(np.cumsum(n_right) - n_right, n_left)] = lefts
-    out[np.arange(len(rights)) + np.repeat(np.cumsum(n_left), n_right)] = rights
-    return out
+    return np.concatenate([rows[(now >= 0) & (now < left)], rows[now >= left]])

@@ -2,77 +2,51 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from ..functions.text import as_text
-from ..functions.types import clean_value
-from .profile import column_stats
-
 
-def _counts(df: DataFrame, name: str) -> DataFrame:
-    """``(value, n)`` of one column, null counted; only this column is read."""
-    field = df.schema[name]
-    # Values that cannot be compared or grouped as they are (maps) count by their text.
-    value = as_text(field) if field.dataType.typeName() == "map" else clean_value(field)
-    return df.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+from ..session import cut_lineage
+from .profile import column_list, column_stats
+from .value_counts import most_frequent, value_counts
 
 
-def top_values(df: DataFrame, n: int = 20) -> DataFrame:
+def top_values(df: DataFrame, n: int = 20, counts: DataFrame | None = None) -> DataFrame:
     """The ``n`` most frequent values of each column with their share of all rows.
 
-    Ties are ordered by the value's text, null first. Each column keeps only its best
-    candidates per task, so a billion distinct values cost no sort.
+    Ties are ordered by the value's text, null first. Each column keeps only its best candidates per task, so a billion
+    distinct values cost no sort in one task. ``counts``: the ``value_counts`` of ``df``, if they are there already.
     """
-    order = [F.desc("n"), F.asc_nulls_first("value")]
-    tops = [
-        _counts(df, f.name)
-        .select(F.lit(f.name).alias("column"), F.col("value").cast("string").alias("value"), "n")
-        .orderBy(*order)
-        .limit(n)
-        for f in df.schema
-    ]
-    rank = F.row_number().over(W.partitionBy("column").orderBy(*order))
-    ranked = reduce(DataFrame.unionAll, tops).withColumn("rank", rank)
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("one", F.lit(1))
-    share = F.round(F.try_divide(F.col("n").cast("double"), F.col("rows").cast("double")), 4)
-    # `rows` is one line, so the join attaches a constant.
-    return (
-        ranked.withColumn("one", F.lit(1))
-        .join(F.broadcast(rows), "one")
-        .select("column", "rank", "value", "n", share.alias("share"))
-    )
+    counts = cut_lineage(value_counts(df), "value_counts") if counts is None else counts
+    best = most_frequent(df, df.columns, n, [F.asc_nulls_first("shown")], nulls=True, counts=counts)
+    rows = counts.filter("position = 0").agg(F.sum("n").alias("rows")).first()["rows"] or 0
+    share = F.round(F.try_divide(F.col("n").cast("double"), F.lit(float(rows))), 4)
+    names = column_list(df).select("column", "position")
+    return best.join(F.broadcast(names), "position").select("column", "rank", "value", "n", share.alias("share"))
 
 
 def distribution_report(df: DataFrame, n: int = 20, distinct: str = "exact") -> DataFrame:
-    """Top values next to type, missing and distinct count of their column."""
-    stats = column_stats(df, distinct).select("column", "position", "dtype", "missing", "distinct")
-    return stats.join(top_values(df, n), "column", "left")
+    """Top values next to type, missing and distinct count of their column, all from the same counts."""
+    counts = cut_lineage(value_counts(df), "value_counts")
+    stats = column_stats(df, distinct, counts).select("column", "position", "dtype", "missing", "distinct")
+    return stats.join(top_values(df, n, counts), "column", "left")
 
 
-def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
+def column_modes(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
     """``(column, mode, n)``: the most frequent present value as text, ties to the smallest.
 
-    Counts merge before the shuffle, and the winner is a plain aggregate, so no task
-    holds all values of a column.
+    All columns from one scan, or from the ``value_counts`` of the whole ``df`` where they are given; each task keeps its best
+    value of a column, so no task holds all of them.
     """
-    parts = []
-    for name in columns:
-        present = _counts(df, name).filter(F.col("value").isNotNull())
-        best = present.agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("best"))
-        parts.append(
-            best.filter(F.col("best").isNotNull()).select(
-                F.lit(name).alias("column"), F.col("best.value").cast("string").alias("mode"), (-F.col("best.neg")).alias("n")
-            )
-        )
-    return reduce(DataFrame.unionAll, parts)
+    order, listed = [F.asc("whole"), F.asc("real"), F.asc("text")], columns
+    if counts is not None:
+        counts, listed = counts.filter(F.col("position").isin([df.columns.index(c) for c in columns])), df.columns
+    best = most_frequent(df, listed, 1, order, nulls=False, counts=counts)
+    names = df.sparkSession.createDataFrame(list(enumerate(listed)), "position int, column string")
+    return best.join(F.broadcast(names), "position").select("column", F.col("value").alias("mode"), "n")
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+def modes(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> dict[str, str]:
     """Modes of categorical columns; a column without values is left out."""
     if not columns:
         return {}
-    return {r["column"]: r["mode"] for r in column_modes(df, columns).collect()}
+    return {r["column"]: r["mode"] for r in column_modes(df, columns, counts).collect()}

@@ -10,9 +10,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.types import as_double, clean_value, is_bool, is_datetime, is_number, quoted
@@ -21,13 +22,16 @@ from .distributions import modes
 from .lookup import BROADCAST_ROWS, local_copy
 from .profile import infer_roles
 from .quantiles import quantiles
+from .value_counts import value_counts
 
 UNUSED_ROLES = ("identifier", "text", "datetime", "datetime_candidate")
 
 
-def model_columns(df: DataFrame, target: str | None = None, roles: Mapping[str, str] | None = None) -> list[str]:
+def model_columns(
+    df: DataFrame, target: str | None = None, roles: Mapping[str, str] | None = None, counts: DataFrame | None = None
+) -> list[str]:
     """Columns that enter a model: all but identifiers, texts and dates; target kept."""
-    roles = roles or infer_roles(df, target)
+    roles = roles or infer_roles(df, target, counts=counts)
     return [c for c in df.columns if c == target or roles[c] not in UNUSED_ROLES]
 
 
@@ -87,22 +91,38 @@ def _string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _indexer(df: DataFrame, strings: list[str], counts: DataFrame, levels: list[str], prepare: Transformer) -> Transformer:
+    """Numbers for the levels of each string column in alphabetical order, the unseen last."""
+    outputs = [f"{c}i" for c in levels]
+    places = [df.columns.index(c) for c in strings]
+    held = counts.filter(F.col("position").isin(places) & F.col("text").isNotNull())
+    plain = all(isinstance(df.schema[c].dataType, T.StringType) for c in strings)
+    if not plain or not held.filter("digest is not null").isEmpty():
+        # Long levels are counted by digest only.
+        indexer = StringIndexer(inputCols=levels, outputCols=outputs, handleInvalid="keep", stringOrderType="alphabetAsc")
+        return indexer.fit(prepare.transform(df))
+    found = {r["position"]: r["texts"] for r in held.groupBy("position").agg(F.sort_array(F.collect_list("text")).alias("texts")).collect()}
+    return StringIndexerModel.from_arrays_of_labels([found[p] for p in places], inputCols=levels, outputCols=outputs, handleInvalid="keep")
+
+
 def fit_preprocessor(
     df: DataFrame, target: str | None = None, roles: Mapping[str, str] | None = None, method: str = "exact"
 ) -> Preprocessor:
     """Learn imputers, scales and one-hot levels from ``df``.
 
     Numbers (and booleans as 0/1): median, then standard scale. Other columns: most
-    frequent value, then one-hot over all levels; an unseen level is all zeros.
+    frequent value, then one-hot over all levels; an unseen level is all zeros. Roles, modes and
+    levels come from the same counted values.
     """
     if "features" in df.columns:
         raise ValueError("a column named features is in the way of the feature vector: rename it")
-    used = [c for c in model_columns(df, target, roles) if c != target]
+    counts = cut_lineage(value_counts(df), "value_counts")
+    used = [c for c in model_columns(df, target, roles, counts) if c != target]
     types = {c: df.schema[c].dataType for c in used}
     numeric = [c for c in used if is_number(types[c]) or is_bool(types[c])]
     strings = [c for c in used if c not in numeric and not is_datetime(types[c])]
     stats = numeric_stats(df, numeric, method)
-    fills = modes(df, strings)
+    fills = modes(df, strings, counts)
     numeric = [c for c in numeric if c in stats]
     strings = [c for c in strings if c in fills]
     if not numeric and not strings:
@@ -120,12 +140,7 @@ def fit_preprocessor(
     inputs = [f"_z{i}" for i in range(len(numeric))]
     if strings:
         levels = [f"_c{i}" for i in range(len(strings))]
-        indexer = StringIndexer(
-            inputCols=levels,
-            outputCols=[f"{c}i" for c in levels],
-            handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ).fit(prepare.transform(df))
+        indexer = _indexer(df, strings, counts, levels, prepare)
         # "keep" adds a last level for the unseen, which dropLast then leaves out.
         encoder = OneHotEncoder(
             inputCols=[f"{c}i" for c in levels], outputCols=[f"{c}v" for c in levels], dropLast=True

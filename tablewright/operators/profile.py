@@ -1,9 +1,6 @@
 """Table shape, column profile, samples, duplicates, roles and candidate targets.
 
-Columns are counted one by one in a single job: each branch reads only its column
-from the files, groups typed values (long strings by digest), and merges them before
-the shuffle. No value is widened to a common type, but the input is read once per column:
-give these operators a file scan or a written stage, not a raw join.
+All columns are counted in one scan (``value_counts.py``), long texts by digest.
 """
 
 from __future__ import annotations
@@ -16,8 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.dates import parse_datetime
-from ..functions.text import LONG_TEXT, as_text, char_count, equality_key, row_digest, word_count
+from ..functions.text import as_text, char_count, row_digest, word_count
 from ..functions.types import clean_value, is_bool, is_datetime, is_number
+from .value_counts import is_null, value_counts
 
 # Name fragments that, with nearly unique values, mark an identifier.
 IDENTIFIER_HINTS = ["id", "uuid", "code", "number"]
@@ -49,37 +47,28 @@ def sketch_distinct(value: Column, log_size: int = 12) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(log_size)))
 
 
-def _exact_branch(df: DataFrame, field: T.StructField) -> DataFrame:
-    """One line of sums for one column, from its distinct values and their counts.
+def _exact_sums(df: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """One line of sums for each column, from its distinct values and their counts.
 
-    Text is measured per distinct value. A long text is keyed by its digest and brings
-    its sizes along; it is longer than any date.
+    Text is measured per distinct value. A long text brings its sizes along; it is longer than any date.
     """
-    n, zero = F.col("n"), F.lit(0).cast("bigint")
-    present = F.sum(F.when(F.col("key").isNotNull(), n).otherwise(0)).alias("present")
-    rows = F.coalesce(F.sum("n"), zero).alias("rows")
-    if _family(field.dataType) != "other":
-        counts = df.select(equality_key(field).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        measures = [zero.alias(c) for c in ("chars", "words", "dates")]
-    else:
-        text = as_text(field)
-        long = F.length(text) > LONG_TEXT
-        keyed = df.select(
-            equality_key(field).alias("key"),
-            F.when(long, char_count(text)).alias("long_chars"),
-            F.when(long, word_count(text)).alias("long_words"),
-        )
-        counts = keyed.groupBy("key", "long_chars", "long_words").agg(F.count(F.lit(1)).alias("n"))
-        key = F.col("key")
-        dated = F.col("long_chars").isNull() & parse_datetime(key).isNotNull()
-        measures = [
-            F.sum(n * F.coalesce("long_chars", char_count(key))).alias("chars"),
-            F.sum(n * F.coalesce("long_words", word_count(key))).alias("words"),
-            F.sum(F.when(dated, n).otherwise(0)).alias("dates"),
-        ]
-    return counts.agg(rows, present, F.count("key").alias("distinct"), *measures).select(
-        F.lit(field.name).alias("column"), "*"
+    n, zero, text = F.col("n"), F.lit(0).cast("bigint"), F.col("text")
+    measured = F.array(*[F.lit(i) for i, f in enumerate(df.schema) if _family(f.dataType) == "other"]).cast("array<int>")
+    asked = F.array_contains(measured, F.col("position"))
+    present = F.when(~is_null(), n).otherwise(zero)
+    dated = asked & F.col("digest").isNull() & parse_datetime(F.when(asked, text)).isNotNull()
+    sums = (value_counts(df) if counts is None else counts).groupBy("position").agg(
+        F.sum("n").alias("rows"),
+        F.sum(present).alias("present"),
+        F.sum(F.when(~is_null(), 1).otherwise(0)).cast("bigint").alias("distinct"),
+        F.sum(F.when(asked, n * F.coalesce("chars", char_count(text))).otherwise(zero)).alias("chars"),
+        F.sum(F.when(asked, n * F.coalesce("words", word_count(text))).otherwise(zero)).alias("words"),
+        F.sum(F.when(dated, n).otherwise(zero)).alias("dates"),
     )
+    # A table without rows has no lines, but its columns have sums.
+    every = column_list(df).select("column", "position")
+    filled = every.join(F.broadcast(sums), "position", "left")
+    return filled.select("column", *[F.coalesce(c, zero).alias(c) for c in ("rows", "present", "distinct", "chars", "words", "dates")])
 
 
 def _sketch_sums(df: DataFrame) -> DataFrame:
@@ -110,17 +99,18 @@ def _sketch_sums(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
 
 
-def column_stats(df: DataFrame, distinct: str = "exact") -> DataFrame:
+def column_stats(df: DataFrame, distinct: str = "exact", counts: DataFrame | None = None) -> DataFrame:
     """Per column: position, type, rows, missing, distinct and, for text, mean sizes.
 
-    ``distinct="approx"`` replaces the shuffle of distinct values by sketches.
+    All columns come from one scan, or from the ``value_counts`` of ``df`` where they are given. ``distinct="approx"``
+    replaces the shuffle of distinct values by sketches.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError(f"unknown distinct method: {distinct}")
     if distinct == "approx":
         sums = _sketch_sums(df)
     else:
-        sums = reduce(DataFrame.unionAll, [_exact_branch(df, f) for f in df.schema])
+        sums = _exact_sums(df, counts)
     present = F.coalesce("present", F.lit(0).cast("bigint"))
     mean = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), present.cast("double")), F.lit(0.0))
     # One line per column on either side.
@@ -163,14 +153,16 @@ def role_rule(target: str | None = None) -> Column:
     )
 
 
-def roles_frame(df: DataFrame, target: str | None = None, distinct: str = "exact") -> DataFrame:
+def roles_frame(df: DataFrame, target: str | None = None, distinct: str = "exact", counts: DataFrame | None = None) -> DataFrame:
     """``(column, position, role)``."""
-    return column_stats(df, distinct).select("column", "position", role_rule(target).alias("role"))
+    return column_stats(df, distinct, counts).select("column", "position", role_rule(target).alias("role"))
 
 
-def infer_roles(df: DataFrame, target: str | None = None, distinct: str = "exact") -> dict[str, str]:
+def infer_roles(
+    df: DataFrame, target: str | None = None, distinct: str = "exact", counts: DataFrame | None = None
+) -> dict[str, str]:
     """Roles as a dict in column order; one row per column reaches the driver."""
-    rows = roles_frame(df, target, distinct).collect()
+    rows = roles_frame(df, target, distinct, counts).collect()
     return {r["column"]: r["role"] for r in sorted(rows, key=lambda r: r["position"])}
 
 

@@ -91,7 +91,7 @@ def _string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _indexer(df: DataFrame, strings: list[str], counts: DataFrame, levels: list[str], prepare: Transformer) -> Transformer:
+def _indexer(df: DataFrame, strings: list[str], counts: DataFrame, levels: list[str], prepare: Transformer) -> list[Transformer]:
     """Numbers for the levels of each string column in alphabetical order, the unseen last."""
     outputs = [f"{c}i" for c in levels]
     places = [df.columns.index(c) for c in strings]
@@ -100,9 +100,11 @@ def _indexer(df: DataFrame, strings: list[str], counts: DataFrame, levels: list[
     if not plain or not held.filter("digest is not null").isEmpty():
         # Long levels are counted by digest only.
         indexer = StringIndexer(inputCols=levels, outputCols=outputs, handleInvalid="keep", stringOrderType="alphabetAsc")
-        return indexer.fit(prepare.transform(df))
+        return [indexer.fit(prepare.transform(df))]
     found = {r["position"]: r["texts"] for r in held.groupBy("position").agg(F.sort_array(F.collect_list("text")).alias("texts")).collect()}
-    return StringIndexerModel.from_arrays_of_labels([found[p] for p in places], inputCols=levels, outputCols=outputs, handleInvalid="keep")
+    return [
+        StringIndexerModel.from_labels(found[p], inputCol=i, outputCol=o, handleInvalid="keep") for p, i, o in zip(places, levels, outputs)
+    ]
 
 
 def fit_preprocessor(
@@ -140,12 +142,12 @@ def fit_preprocessor(
     inputs = [f"_z{i}" for i in range(len(numeric))]
     if strings:
         levels = [f"_c{i}" for i in range(len(strings))]
-        indexer = _indexer(df, strings, counts, levels, prepare)
+        indexers = _indexer(df, strings, counts, levels, prepare)
         # "keep" adds a last level for the unseen, which dropLast then leaves out.
         encoder = OneHotEncoder(
             inputCols=[f"{c}i" for c in levels], outputCols=[f"{c}v" for c in levels], dropLast=True
-        ).fit(indexer.transform(prepare.transform(df)))
-        stages += [indexer, encoder]
+        ).fit(PipelineModel(stages=[prepare, *indexers]).transform(df))
+        stages += [*indexers, encoder]
         inputs += [f"{c}v" for c in levels]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error"))
     return Preprocessor(numeric, strings, stages)

@@ -104,7 +104,7 @@ def test_a_search_scans_once(points, monkeypatch):
 
 @pytest.mark.parametrize("name", ["ridge_regression", "random_forest_regressor"])
 def test_fitted_models_come_back(spark, name):
-    df = cut_lineage(spark.range(300).select((F.col("id") % 17).cast("double").alias("a"), F.concat(F.lit("k"), F.col("id") % 3).alias("b"), (F.col("id") % 17 * 3 + F.col("id") % 3).cast("double").alias("y")))
+    df = cut_lineage(spark.range(300).select((F.col("id") % 17).cast("double").alias("a"), F.concat(F.lit("k"), F.col("id") % 3).alias("b"), F.concat(F.lit("x"), F.col("id") % 5).alias("c"), (F.col("id") % 17 * 3 + F.col("id") % 3).cast("double").alias("y")))
     bench = prepare("regression", df, df, "y")
     model = fit_and_measure(bench, name, {"n_estimators": 5})
     again = load_fitted(spark, model.save(scratch_path(spark, "model")))

@@ -17,9 +17,12 @@ from pyspark.sql import Window as W
 
 from ..functions.text import as_text, row_digest
 from ..functions.types import clean_value
+from ..session import cut_lineage
+from .lookup import HOT_PARTS, SALTS
 
 PREFIX = 4  # hex digits: 65,536 counts per stratum
-MAX_STRATA = 100_000  # cuts are broadcast, so strata must be few
+MAX_STRATA = 100_000  # up to so many the cuts are broadcast, beyond they are a table like any other
+REFINED = 8  # hex digits of the second look, where strata are a table
 COPIES_PER_TASK = 100_000
 # Names of working columns, which must not meet a column of the table.
 LABEL, STRATUM, HASH = "__label", "__stratum", "__hash"
@@ -109,7 +112,7 @@ def exact_split(
         if not totals:
             return df.withColumn("split", F.lit("train"))
         if len(totals) > MAX_STRATA:
-            raise ValueError(f"{stratify} has more than {MAX_STRATA} classes: it cannot be stratified")
+            return _split_many(df, base, prefixes, label, hashed, test_size, val_size, key, seed)
         totals = sorted(totals, key=lambda r: (r["label"] is not None, r["label"]))
         smallest = min((r["n"] for r in totals if r["label"] is not None), default=0)
         stratified = bool(stratify) and smallest >= 2
@@ -144,11 +147,7 @@ def exact_split(
     out = out.drop(LABEL, STRATUM, HASH)
     if joint or not n_val:
         return out
-    # Some class is down to one row: validation is drawn from the rest without strata.
-    rest = out.filter(F.col("split") != "test").drop("split")
-    rest = exact_split(rest, n_val / (n - n_test), 0.0, key, None, seed)
-    rest = rest.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
-    return out.filter(F.col("split") == "test").unionByName(rest)
+    return _without_strata(out, n, n_test, n_val, key, seed)
 
 
 def _label(marked: DataFrame, cuts: dict, test: Sequence[int], val: Sequence[int], by_key: bool) -> DataFrame:
@@ -179,22 +178,26 @@ def _label(marked: DataFrame, cuts: dict, test: Sequence[int], val: Sequence[int
     placed = bounded.withColumn("split", part.otherwise("train")).drop(*ends)
     if not mixed:
         return placed
-    # Equal rows on both sides of a cut: keep one of them and repeat it as often as
-    # each part needs, in bounded pieces.
     shares = [(s, h, [(p, n) for p, n in zip(("test", "val", "train"), sizes) if n]) for s, h, *sizes in mixed]
-    groups = F.broadcast(
-        spark.createDataFrame(shares, f"{STRATUM} int, {HASH} string, __parts array<struct<split:string,n:bigint>>")
-    )
-    alone = placed.join(groups.select(STRATUM, HASH), [STRATUM, HASH], "left_anti")
+    groups = spark.createDataFrame(shares, f"{STRATUM} int, {HASH} string, __parts array<struct<split:string,n:bigint>>")
+    return _spread(placed, F.broadcast(groups), STRATUM)
+
+
+def _spread(placed: DataFrame, groups: DataFrame, stratum: str) -> DataFrame:
+    """Equal rows on both sides of a cut: keep one of them and repeat it as often as each part needs, in bounded pieces."""
+    groups = groups.select(F.col(stratum).alias("__g"), F.col(HASH).alias("__gh"), "__parts")
+    same = F.col(stratum).eqNullSafe(F.col("__g")) & (F.col(HASH) == F.col("__gh"))
+    alone = placed.join(groups, same, "left_anti")
     step = F.lit(COPIES_PER_TASK).cast("bigint")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     pieces = (
         placed.drop("split")
-        .join(groups, [STRATUM, HASH])
-        .dropDuplicates([STRATUM, HASH])
+        .join(groups, same)
+        .drop("__g", "__gh")
+        .dropDuplicates([stratum, HASH])
         .withColumn("__part", F.explode("__parts"))
         .withColumn("__from", F.explode(F.sequence(zero, F.col("__part.n") - 1, step)))
-        .repartition(STRATUM, HASH, "__part", "__from")
+        .repartition(stratum, HASH, "__part", "__from")
         .withColumn("__i", F.explode(F.sequence(one, F.least(F.col("__part.n") - F.col("__from"), step))))
         .withColumn("split", F.col("__part.split"))
         .drop("__parts", "__part", "__from", "__i")
@@ -202,6 +205,112 @@ def _label(marked: DataFrame, cuts: dict, test: Sequence[int], val: Sequence[int
     return alone.unionByName(pieces)
 
 
+def allocate_table(strata: DataFrame, size: str, draws: int, out: str) -> DataFrame:
+    """``allocate`` over a table: adds ``out``, the share of ``draws`` of each row's ``size`` by largest remainder, ties by label.
+
+    The remainders are ranked by ranges: rows are dealt to ranges of (remainder, label), sorted there and written with their places,
+    and only the sizes of the ranges are summed up in one place.
+    """
+    total = strata.agg(F.sum(size).alias("n")).first()["n"]
+    exact = F.col(size).cast("double") / F.lit(float(total)) * F.lit(float(draws))
+    shared = strata.withColumn(out, F.floor(exact).cast("bigint")).withColumn("__rest", exact - F.floor(exact))
+    order = [F.desc("__rest"), F.asc_nulls_first(LABEL)]
+    ranges = int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = shared.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(placed.withColumn("__range", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()), "shares")
+    sums = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), F.min("__place").alias("first"), F.sum(out).alias("given"))
+    left = draws - sum(r["given"] for r in sums.collect())  # one row for each range
+    earlier = F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sums.select("__range", (earlier - F.col("first")).alias("__shift"))
+    ranked = placed.join(F.broadcast(shifts), "__range")
+    more = (F.col("__place") + F.col("__shift") < left).cast("bigint")
+    return ranked.withColumn(out, F.col(out) + more).drop("__rest", "__range", "__place", "__shift")
+
+
+def _split_many(
+    df: DataFrame, base: DataFrame, prefixes: DataFrame, label: Column, hashed: Column, test_size: float, val_size: float, key: str | None, seed: int
+) -> DataFrame:
+    """``exact_split`` where strata are too many to be listed: shares, cuts and rows meet by joins on the label.
+
+    The k-th hash of a stratum is looked for prefix by prefix, so that no task sees more than the counts of 65,536
+    buckets of one stratum, and at the end the rows of one bucket of ``REFINED`` digits. Labels with many rows are broadcast in the last join.
+    """
+    strata = cut_lineage(prefixes.groupBy(LABEL).agg(F.sum("n").alias("n")), "strata")
+    facts = strata.agg(F.sum("n").alias("n"), F.min(F.when(F.col(LABEL).isNotNull(), F.col("n"))).alias("least")).first()
+    n = facts["n"]
+    if facts["least"] < 2:
+        return exact_split(df, test_size, val_size, key, None, seed)
+    n_test, n_val = split_sizes(n, test_size, val_size)
+    shares = allocate_table(strata, "n", n - n_test, "keep")
+    joint = shares.agg(F.min("keep").alias("k")).first()["k"] >= 2
+    if joint and n_val:
+        shares = allocate_table(shares, "keep", n - n_test - n_val, "train")
+    else:
+        shares = shares.withColumn("train", F.col("keep"))
+    shares = cut_lineage(shares.select(LABEL, "n", (F.col("n") - F.col("keep")).alias("test"), (F.col("keep") - F.col("train")).alias("val")), "shares")
+
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    wanted = F.array(
+        F.struct(F.lit(0).alias("cut"), F.when(F.col("test") > 0, F.col("test")).alias("k")),
+        F.struct(F.lit(1).alias("cut"), F.when(F.col("val") > 0, F.col("test") + F.col("val")).alias("k")),
+    )
+    spots = shares.select(F.col(LABEL).alias("__l"), F.inline(wanted)).filter("k is not null").withColumn("bucket", F.lit(""))
+    counts = prefixes.withColumnRenamed("prefix", "next").join(spots, same(LABEL, "__l")).drop("__l", "bucket")
+    for digits in (PREFIX, REFINED, 32):
+        if digits > PREFIX:
+            bucket = F.substring(HASH, 1, found_digits)
+            rows = base.select(LABEL, F.substring(HASH, 1, digits).alias("next"), bucket.alias("__b"))
+            counts = rows.join(spots, same(LABEL, "__l") & (F.col("__b") == F.col("bucket"))).groupBy(LABEL, "cut", "k", "next").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy(LABEL, "cut").orderBy("next").rowsBetween(W.unboundedPreceding, 0))
+        hits = counts.withColumn("upto", upto).filter((F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto")))
+        take = F.col("k") - F.col("upto") + F.col("n")
+        spots = cut_lineage(hits.select(F.col(LABEL).alias("__l"), "cut", F.col("next").alias("bucket"), take.alias("k"), "n"), "cuts")
+        found_digits, spots = digits, spots if digits == 32 else spots.drop("n")
+    pick = lambda cut, c: F.max(F.when(F.col("cut") == cut, F.col(c)))
+    cuts = spots.groupBy("__l").agg(
+        *[F.coalesce(pick(c, "bucket"), F.lit("")).alias(f"last_{p}") for c, p in enumerate(("test", "val"))],
+        *[F.coalesce(pick(c, x), F.lit(0)).alias(f"{y}_{p}") for c, p in enumerate(("test", "val")) for x, y in (("k", "taken"), ("n", "all"))],
+    )
+    ends = cut_lineage(shares.join(cuts, same(LABEL, "__l"), "left").drop("__l").na.fill("", ["last_test", "last_val"]).na.fill(0), "ends")
+
+    # Hot labels are broadcast, of the others one row meets the rows of each; rows already served are dealt out at random.
+    hot = F.col("n") > F.lit(n / HOT_PARTS)
+    at = lambda name: [F.col(LABEL).alias(f"__{name}"), F.struct("last_test", "last_val").alias(f"__{name}_ends")]
+    marked = df.withColumns({LABEL: label, HASH: hashed}).join(F.broadcast(ends.filter(hot).select(*at("hot"))), same(LABEL, "__hot"), "left")
+    served = F.col("__hot_ends").isNotNull()
+    salt = F.when(served, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0)
+    marked = marked.withColumns({"__key": F.when(~served, F.col(LABEL)), "__salt": salt})
+    cold = ends.filter(~hot).select(*at("cold"), F.lit(0).cast("bigint").alias("__none"))
+    marked = marked.join(cold, same("__key", "__cold") & (F.col("__salt") == F.col("__none")), "left")
+    last = F.coalesce("__hot_ends", "__cold_ends")
+    part = F.when(F.col(HASH) <= last["last_test"], "test").when(F.col(HASH) <= last["last_val"], "val").otherwise("train")
+    placed = marked.withColumn("split", part).drop("__hot", "__hot_ends", "__key", "__salt", "__cold", "__cold_ends", "__none")
+
+    h, test_here, val_here = F.col(HASH), F.col(HASH) == F.col("last_test"), F.col(HASH) == F.col("last_val")
+    in_test = F.when(test_here, F.col("taken_test")).otherwise(F.lit(0))
+    copies = F.when(test_here, F.col("all_test")).otherwise(F.col("all_val"))
+    upto_val = F.when(test_here & (F.col("last_val") > h), copies).when(val_here, F.col("taken_val")).otherwise(in_test)
+    shared = ends.withColumn(HASH, F.explode(F.filter(F.array_distinct(F.array("last_test", "last_val")), lambda x: x != "")))
+    shared = shared.filter((in_test < copies) & ((in_test > 0) | (upto_val < copies)))
+    sizes = [("test", in_test), ("val", upto_val - in_test), ("train", copies - upto_val)]
+    parts_of = F.filter(F.array(*[F.struct(F.lit(p).alias("split"), c.cast("bigint").alias("n")) for p, c in sizes]), lambda x: x["n"] > 0)
+    groups = cut_lineage(shared.select(LABEL, HASH, parts_of.alias("__parts")), "shared_rows")
+    if not groups.isEmpty():
+        if key is not None:
+            raise ValueError("the key repeats where a split must be cut: use a unique key, or none")
+        placed = _spread(placed, groups, LABEL)
+    out = placed.drop(LABEL, HASH)
+    return out if joint or not n_val else _without_strata(out, n, n_test, n_val, key, seed)
+
+
+def _without_strata(out: DataFrame, n: int, n_test: int, n_val: int, key: str | None, seed: int) -> DataFrame:
+    """Some class is down to one row: validation is drawn from the rest without strata."""
+    rest = out.filter(F.col("split") != "test").drop("split")
+    rest = exact_split(rest, n_val / (n - n_test), 0.0, key, None, seed)
+    rest = rest.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
+    return out.filter(F.col("split") == "test").unionByName(rest)
+
+
 def split_manifest(split: DataFrame) -> DataFrame:
     return split.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -10,8 +10,10 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
     OneVsRest,
+    OneVsRestModel,
 )
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +27,7 @@ from ..session import cut_lineage
 from .density import dbscan
 from .forest import ForestModel, fit_forest
 from .gram import NormalEquations
+from .hinge import fit_squared_hinge
 from .neighbors import knn_join, mean
 
 SEED = 42
@@ -131,9 +134,6 @@ def build_estimator(model_name: str, s: Mapping, training: Training):
     n, many = training.rows, training.classes is not None and len(training.classes) > 2
     if model_name == "logistic_regression":
         return LogisticRegression(regParam=1 / (s["C"] * n), standardization=False, maxIter=s["max_iter"])
-    if model_name == "linear_svc":
-        svc = LinearSVC(regParam=1 / (s["C"] * n), standardization=False, maxIter=s["max_iter"])
-        return OneVsRest(classifier=svc) if many else svc
     if model_name == "gradient_boosting_classifier":
         gbt = GBTClassifier(maxIter=s["n_estimators"], stepSize=s["learning_rate"], maxDepth=s["max_depth"], seed=SEED)
         return OneVsRest(classifier=gbt) if many else gbt
@@ -158,6 +158,23 @@ def build_estimator(model_name: str, s: Mapping, training: Training):
     raise ValueError(f"no MLlib estimator for {model_name}")
 
 
+def fit_hinge(s: Mapping, training: Training):
+    """Squared hinge, as MLlib models: one for two classes, else one for each class against the rest."""
+    many = len(training.classes) > 2
+    classes = [float(k) for k in range(len(training.classes))] if many else [1.0]
+    found = fit_squared_hinge(training.data, training.width, classes, float(s["C"]), int(s["max_iter"]))
+    sc = training.data.sparkSession.sparkContext
+    made = [
+        LinearSVCModel(sc._jvm.org.apache.spark.ml.classification.LinearSVCModel(f"hinge{k}", _py2java(sc, Vectors.dense(w)), float(b)))
+        for k, (w, b) in enumerate(zip(found.weights, found.intercepts))
+    ]
+    if not many:
+        return made[0]
+    model = OneVsRestModel(made)
+    model.set(model.classifier, LinearSVC())
+    return model
+
+
 def fit_trees(task_type: str, s: Mapping, training: Training) -> ForestModel:
     """A random forest: for classes the root of the number of features is drawn for each split, else all are tried."""
     width = training.width
@@ -225,6 +242,8 @@ def fit_model(task_type: str, model_name: str, params: Mapping | None, training:
         return DensityModel(cut_lineage(labels.select("row_id", F.col("cluster").alias("prediction")), "labels"))
     if model_name.startswith("random_forest"):
         return fit_trees(task_type, s, training)
+    if model_name == "linear_svc":
+        return fit_hinge(s, training)
     if model_name == "ridge_regression" and training.width <= NORMAL_EQUATION_FEATURES:
         return fit_ridge(float(s["alpha"]), training)
     if model_name == "kmeans":

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._rows import steady
+from ..session import cut_lineage
 
 #: Equal payloads below this size each stay a response record.
 REVISIT_BYTES = 1000
@@ -42,19 +42,22 @@ def write_archive(
     response; the others, repeated rows with the same id as well, are revisits of it. A null payload is empty. A null row id counts as the
     smallest and its line is left out of the header, as is that of a null URL. Other columns are not read.
 
-    The largest row of each payload comes from an aggregation whose partial results merge before
-    the shuffle; the join back has one row for each different payload on one side, so a payload that
-    a third of the rows share can be split on the other (adaptive skew join). Payload bytes are only
-    shuffled by row, which is never hot.
+    A narrow table of digests, one row for each record, is written once and numbers the records; headers come from it. The
+    largest row of each payload comes from an aggregation whose partial results merge before the shuffle; the join back has one
+    row for each different payload on one side, so a payload that a third of the rows share can be split on the other (adaptive
+    skew join). Payloads are grouped by digest and need no number: equal ones merge in each task before they are shuffled.
     """
-    pages = steady(pages.select(row, url, payload))
     base = pages.select(
-        F.monotonically_increasing_id().alias("place"),
         F.col(row).cast("bigint").alias("row"),
         F.col(url).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha256", F.sha2("payload", 256))
-    digests = base.select("place", "row", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
+    digests = cut_lineage(
+        base.select(
+            F.monotonically_increasing_id().alias("place"), "row", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")
+        ),
+        "warc_digests",
+    )
     owners = digests.groupBy("sha256").agg(F.max(F.struct("row", "place")).alias("owner"))
     revisit = (F.col("n") >= revisit_bytes) & (F.col("place") != F.col("owner.place"))
     header = F.concat(
@@ -72,8 +75,7 @@ def write_archive(
         F.lit("\r\n"),
     )
     digests.join(owners, "sha256").select(F.encode(header, "UTF-8").alias("header"), "sha256").write.parquet(f"{folder}/headers")
-    kept = owners.select(F.col("owner.place").alias("place"))
-    base.select("place", "sha256", "payload").join(kept, "place", "left_semi").select("sha256", "payload").write.parquet(f"{folder}/payloads")
+    base.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{folder}/payloads")
     return folder
 
 

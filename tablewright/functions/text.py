@@ -28,14 +28,6 @@ def as_text(field: T.StructField) -> Column:
     return clean_value(field).cast("string")
 
 
-def equality_key(field: T.StructField) -> Column:
-    """A short value that is equal exactly when the column's values are equal."""
-    if isinstance(field.dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
-        text = as_text(field)
-        return F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-    return clean_value(field)
-
-
 def digest(*values: Column) -> list[Column]:
     """128 bits of hash as two longs. Nulls, which the hash skips, are told apart by flags."""
     flags = [v.isNull() for v in values]

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -15,11 +16,13 @@ from pyspark.ml.classification import (
     OneVsRest,
     OneVsRestModel,
 )
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.mllib.common import _py2java as _py2java_old
+from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from .density import dbscan
 from .forest import ForestModel, fit_forest
 from .gram import NormalEquations
 from .hinge import fit_squared_hinge
+from .kmeans import lloyd
 from .neighbors import knn_join, mean
 
 SEED = 42
@@ -137,6 +141,10 @@ def build_estimator(model_name: str, s: Mapping, training: Training):
     if model_name == "gradient_boosting_classifier":
         gbt = GBTClassifier(maxIter=s["n_estimators"], stepSize=s["learning_rate"], maxDepth=s["max_depth"], seed=SEED)
         return OneVsRest(classifier=gbt) if many else gbt
+    if model_name == "linear_svc":
+        # With the plain hinge; fits take the squared one (``fit_hinge``).
+        svc = LinearSVC(regParam=1 / (s["C"] * n), standardization=False, maxIter=s["max_iter"])
+        return OneVsRest(classifier=svc) if many else svc
     if model_name == "ridge_regression":
         # Too wide for normal equations. MLlib divides the loss by n and works on the label scaled by its sample deviation.
         _, sample = training.label_spread()
@@ -194,9 +202,15 @@ def fit_ridge(alpha: float, training: Training) -> LinearRegressionModel:
 
 
 def fit_kmeans(s: Mapping, training: Training) -> Model:
-    """K-means from several starts, the one with the lowest cost."""
-    starts = [KMeans(k=s["n_clusters"], seed=SEED + i, maxIter=300, tol=1e-4) for i in range(int(s["n_init"]))]
-    return min((k.fit(training.data) for k in starts), key=lambda m: m.summary.trainingCost)
+    """K-means from several starts of MLlib, which then move together, a scan a round; the one with the lowest cost."""
+    data = training.data
+    starts = [KMeans(k=s["n_clusters"], seed=SEED + i, maxIter=0).fit(data) for i in range(int(s["n_init"]))]
+    centres, _ = lloyd(data, [np.stack(m.clusterCenters()) for m in starts], rounds=300, tol=1e-4)
+    sc = data.sparkSession.sparkContext
+    plain = sc._jvm.org.apache.spark.mllib.clustering.KMeansModel(_py2java_old(sc, [OldVectors.dense(c) for c in centres]))
+    model = KMeansModel(sc._jvm.org.apache.spark.ml.clustering.KMeansModel("kmeans", plain))
+    model.set(model.k, s["n_clusters"])
+    return model
 
 
 @dataclass

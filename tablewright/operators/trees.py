@@ -74,11 +74,11 @@ class Sorted:
         self.two: dict[int, tuple[float, float]] = {}
         for f in range(x.shape[1]):
             column = self.x[:, f]
-            order = np.argsort(column, kind="stable")
+            order = np.argsort(column, kind="stable").astype(np.int32)  # held for all trees, so narrow
             steps = np.r_[0, np.cumsum(np.diff(column[order]) != 0)].astype(np.int32)
             if len(steps) and steps[-1] == 1:
                 high = column[order[-1]]
-                self.upper[f], self.two[f] = np.flatnonzero(column == high), (column[order[0]], high)
+                self.upper[f], self.two[f] = np.flatnonzero(column == high).astype(np.int32), (column[order[0]], high)
             elif len(steps) and steps[-1] > 1:
                 self.order[f], self.rank[f] = order, np.empty(len(order), np.int32)
                 self.rank[f][order] = steps
@@ -168,8 +168,8 @@ def grow(
     shift = [_centre(y[inside], weight[inside]) for y in outputs]
     parts = [weight * (y - s) for y, s in zip(outputs, shift)]  # weighted outputs, centred against cancellation
     rows = np.flatnonzero(inside)  # indices are as wide as NumPy wants them, or each use would widen them
-    order = {f: o[inside[o]] for f, o in data.order.items()}
-    upper = {f: u[inside[u]] for f, u in data.upper.items()}
+    order = {f: o[inside[o]].astype(np.intp) for f, o in data.order.items()}
+    upper = {f: u[inside[u]].astype(np.intp) for f, u in data.upper.items()}
     node_of = np.full(len(weights), -1)
     node_of[rows] = 0
     # Nodes of a level are numbered as their rows stand; ``spot`` is a node's place in level order.

@@ -25,7 +25,7 @@ from .lookup import BROADCAST_ROWS, local_copy
 PARTS = {"whole": pa.int64(), "real": pa.float64(), "text": pa.string(), "digest": pa.string(), "chars": pa.int32(), "words": pa.int32()}
 _LINES = "position int, whole bigint, real double, text string, digest string, chars int, words int, n bigint"
 #: Rows and bytes that a task counts at once.
-STRETCH_ROWS, STRETCH_BYTES = 1 << 20, 128 << 20
+STRETCH_ROWS, STRETCH_BYTES = 1 << 18, 32 << 20
 
 
 def _is_text(dtype: T.DataType) -> bool:

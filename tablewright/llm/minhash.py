@@ -217,17 +217,19 @@ def near_duplicates(
     links = cut_lineage(_confirm(near, sets, similar), "links")
     roots = cut_lineage(connected_components(links), "roots")
 
-    # Buckets of several components: every member outside the leader's component against all others.
-    rooted = shared.filter("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Buckets of several components: every member outside the leader's component against all others. Roots meet nodes, not the
+    # places of nodes in buckets, of which a large group of near copies has many.
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("key"))
     open_ = (
         rooted.groupBy("key")
         .agg(
-            F.max(F.when(F.col("node") == F.col("leader"), F.col("root"))).alias("leading"),
+            F.min(F.struct("node", "root"))["root"].alias("leading"),
             F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("all"),
         )
-        .filter("low < high")
+        .filter("low < high AND all > 2")
     )
-    mixed = rooted.join(open_.select("key", "leading", "all"), "key").withColumn("out", F.col("root") != F.col("leading"))
+    open_ = cut_lineage(open_.drop("low", "high"), "open")
+    mixed = rooted.join(open_, "key").withColumn("out", F.col("root") != F.col("leading"))
     outside = mixed.filter("out").groupBy("key").agg(F.count(F.lit(1)).alias("outside"))
     mixed = mixed.join(outside, "key").join(bits, "node").join(sets, "node")
     parts = lambda n: F.ceil(F.col(n) / tile).cast("int")

@@ -440,6 +440,32 @@ def test_line_dedup_crowded_bucket(spark):
     assert gone == sum(t == "" for _, t in without_repeats(data))
 
 
+def test_line_dedup_frequent_words(spark, monkeypatch):
+    """Lines of words that all are frequent: dealt by pairs of words, and of near copies by the first one; no row a tile but for what is left."""
+    r = random.Random(5)
+    words, far = [f"w{i}" for i in range(24)], [f"z{i}" for i in range(9)]
+    lines = [r.sample(words, r.randint(1, 14)) for _ in range(500)]
+    lines += [[*far, r.choice(words), f"only{i}"] for i in range(120)]  # similar to the first of them, or not
+    lines += [[*far[:7], *r.sample(words, 3)] for _ in range(60)]
+    r.shuffle(lines)
+    data = [(None if i % 90 == 7 else i // 3, " ".join(x)) for i, x in enumerate(lines)]
+    seen = []
+    monkeypatch.setattr(line_dedup, "_word_pairs", lambda *a, f=line_dedup._word_pairs: seen.append("pairs") or f(*a))
+    monkeypatch.setattr(line_dedup, "_after_first", lambda *a, f=line_dedup._after_first: seen.append("first") or f(*a))
+    for similar in [(3, 4), (1, 2)]:
+        df = steady(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3))
+        order = sorted(df.collect(), key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["__place"]))
+        sets, want = [], set()
+        for x in order:
+            s = set(alnum(x["text"]))
+            if any(similar[1] * len(s & o) >= similar[0] * len(s | o) for o in sets):
+                want.add(x["__place"])
+            sets.append(s)
+        got = line_dedup.repeated_lines(df, tile=16, similar=similar).collect()
+        assert {x["place"] for x in got} == want and all(x["lines"] == [0] for x in got)
+    assert set(seen) == {"pairs", "first"}
+
+
 def test_line_dedup_short_lines(spark):
     """Lines of one to seven different words are compared like any other."""
     lines = ["Read more", "Alle Rechte vorbehalten", "版权所有", "one two three", "three one two four", "a b c d e", "a b c d f", "go", "GO go!", "---", "", "u v w x y z q"]

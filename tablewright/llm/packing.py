@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ SENTENCE_CUT, ANY_CUT = 8, 64
 STREAM = 1 << 18
 #: Different words whose tokens a worker remembers.
 REMEMBERED = 1 << 20
+#: What stands between words that are encoded together, a character of one token; and how many words these are.
+MARK, TOGETHER = "\x7f", 256
 #: Sequence numbers of one task.
 PER_TASK = 1 << 40
 
@@ -41,6 +44,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -73,14 +78,38 @@ class WordTokens:
         if not new.any():
             return
         raw = texts.data.tobytes()
-        spell = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]]
-        found = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(spell, add_special_tokens=False)]
-        number = len(self.first) - 1 + np.arange(len(found))
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in found])]
-        self.ids = np.concatenate([self.ids, *found])
-        known, which = np.r_[self.known, different[new]], np.r_[self.which, number]
-        order = np.argsort(known)
-        self.known, self.which = known[order], which[order]
+        spell = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+        ids, sizes = self._encode_words(spell)
+        number = len(self.first) - 1 + np.arange(len(spell))
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
+        self.ids = np.r_[self.ids, ids]
+        # Both are in order already.
+        self.known, self.which = np.insert(self.known, at[new], different[new]), np.insert(self.which, at[new], number)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has.
+
+        Many words at a time are one text, with ``MARK`` between them, whose token is in no other word. A text in which that token is
+        not found exactly once between two words, as when a word holds the mark itself, is encoded word by word.
+        """
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        joined = [f" {MARK} ".join(g) for g in groups] if self.mark is not None else []
+        texts = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) if joined else [None] * len(groups)
+        found, sizes = [], []
+        for group, text in zip(groups, texts):
+            if text is not None and not any(MARK in w for w in group):
+                ids = np.array(text.ids, np.uint32)
+                marks = ids == self.mark
+                ends = np.flatnonzero(np.r_[marks, True])
+                if len(ends) == len(group):
+                    found.append(ids[~marks])
+                    sizes.append(np.diff(np.r_[-1, ends]) - 1)
+                    continue
+            apart = [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            n = np.fromiter(map(len, apart), np.int64, len(apart))
+            found.append(np.fromiter(chain.from_iterable(apart), np.uint32, int(n.sum())))
+            sizes.append(n)
+        return np.concatenate(found), np.concatenate(sizes)
 
 
 _ENCODERS: dict[str, WordTokens] = {}

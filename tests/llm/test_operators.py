@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -421,6 +422,31 @@ def without_repeats(rows, least=line_dedup.LEAST_WORDS):
     return [(rows[k][0], out[k]) for k in range(len(rows))]
 
 
+def test_words_encoded_together():
+    """Words share a text of the tokenizer, even those that hold the mark between them, special strings or odd characters."""
+    tokens = packing.WordTokens(queries.word_bpe())
+    calls, whole = [], tokens.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            calls.append(len(texts))
+            return whole.encode_batch_fast(texts, **more)
+
+    tokens.tokenizer = Counting()
+    marked, odd = ["\x7f", "a\x7fb"], ["<|endoftext|>", "x<|endoftext|>y", "İI\u0307", "\u0301", "\x00", "\x1f", "it's", "n\u00a0o", "\u2028", "\u200b", "é", "e\u0301", "\u0085", "12.5", "'", "|"]
+    many = [f"Wort{i}ß." for i in range(1000)]
+    texts = [" ".join(odd), " ".join(many), "\n".join(many[::-1] + odd + marked), None, "", " \t"]
+    tokens.encode(pa.array(texts[:1]))
+    ids, first = tokens.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    plain = packing.WordTokens(queries.word_bpe())
+    plain.tokenizer = tokens.tokenizer
+    calls.clear()
+    plain.encode(pa.array([" ".join(many)]))
+    assert sum(calls) < 20
+
+
 def test_line_dedup_brute_force(docs, rows):
     got = line_dedup.drop_repeated_lines(docs, count="n_removed", chars="n_chars")
     found = got.collect()

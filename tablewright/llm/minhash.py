@@ -167,6 +167,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
     )
 
 
+def _by_node(mixed: DataFrame) -> DataFrame:
+    """Places in open buckets as one row a node, which has at most one for each band: bits and sets meet a node once, not once a bucket."""
+    places = F.collect_list(F.struct("key", "out", "outside", "all")).alias("places")
+    return mixed.groupBy("node").agg(F.first("root").alias("root"), places)
+
+
 def near_duplicates(
     docs: DataFrame, *, row: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR, tile: int = TILE
 ) -> DataFrame:
@@ -231,7 +237,7 @@ def near_duplicates(
     open_ = cut_lineage(open_.drop("low", "high"), "open")
     mixed = rooted.join(open_, "key").withColumn("out", F.col("root") != F.col("leading"))
     outside = mixed.filter("out").groupBy("key").agg(F.count(F.lit(1)).alias("outside"))
-    mixed = mixed.join(outside, "key").join(bits, "node").join(sets, "node")
+    mixed = _by_node(mixed.join(outside, "key")).join(bits, "node").join(sets, "node").select("*", F.inline("places")).drop("places")
     parts = lambda n: F.ceil(F.col(n) / tile).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))

@@ -124,6 +124,34 @@ def test_minhash_large_group_and_chain(spark):
     assert [got[i] for i in range(40)] == groups
 
 
+def test_minhash_sets_meet_nodes_once(spark, monkeypatch):
+    """However many open buckets a node is in, its bits and sets are joined to one row of it, with a place for each bucket."""
+    seen = []
+
+    def watch(mixed, f=minhash._by_node):
+        seen.append((mixed.count(), f(mixed).agg(F.count("*").alias("n"), F.countDistinct("node").alias("nodes"), F.sum(F.size("places")).alias("places"), F.max(F.size("places")).alias("most")).first()))
+        return f(mixed)
+
+    monkeypatch.setattr(minhash, "_by_node", watch)
+    words = prose(21, 60).split()
+    data = [(i, " ".join([*words[: 59 - i], *(f"v{i}x{k}" for k in range(i + 1))])) for i in range(24)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"), tile=4).collect()}
+    assert got == chained(data)
+    ((rows, found),) = seen
+    assert rows == found["places"] > found["n"] == found["nodes"] > 0 and found["most"] <= minhash.BANDS
+
+
+def chained(rows):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [blank(low(t))]}
+    component = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) and component[a] != component[b]:
+                low_, high = sorted((component[a], component[b]))
+                component = {i: low_ if c == high else c for i, c in component.items()}
+    return component
+
+
 def test_minhash_estimate():
     a, b = np.arange(1, 4001, dtype=np.uint64), np.arange(501, 4501, dtype=np.uint64)
     a, b = minhash.mix(a), minhash.mix(b)

@@ -520,6 +520,20 @@ def test_line_dedup_frequent_words(spark, monkeypatch):
     assert set(seen) == {"pairs", "first"}
 
 
+def test_line_dedup_near_misses_first(spark, monkeypatch):
+    """A line whose first candidates are near misses, by bits that fall together, is settled by the next ones, without a second search."""
+    r = random.Random(11)
+    core, pool = [f"c{i}" for i in range(34)], [f"z{i}" for i in range(60)]
+    misses = [[*core, *r.sample(pool, 6)] for _ in range(6)]
+    lines = [*misses, *([*x, f"more{i}"] for i, x in enumerate(misses)), *(r.sample(pool, 12) for _ in range(60))]
+    data = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    searches = []
+    monkeypatch.setattr(line_dedup, "_candidates", lambda *a, f=line_dedup._candidates: searches.append(a[-1]) or f(*a))
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got) == sorted(without_repeats(data))
+    assert searches == [False]
+
+
 def test_line_dedup_short_lines(spark):
     """Lines of one to seven different words are compared like any other."""
     lines = ["Read more", "Alle Rechte vorbehalten", "版权所有", "one two three", "three one two four", "a b c d e", "a b c d f", "go", "GO go!", "---", "", "u v w x y z q"]

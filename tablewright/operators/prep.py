@@ -20,7 +20,7 @@ from ..functions.types import as_double, clean_value, is_bool, is_datetime, is_n
 from ..session import cut_lineage
 from .distributions import modes
 from .lookup import BROADCAST_ROWS, local_copy
-from .profile import infer_roles
+from .profile import IDENTIFIER_HINTS, infer_roles
 from .quantiles import quantiles
 from .value_counts import value_counts
 
@@ -35,6 +35,16 @@ def model_columns(
     return [c for c in df.columns if c == target or roles[c] not in UNUSED_ROLES]
 
 
+def counted_columns(df: DataFrame, target: str | None, roles: Mapping[str, str] | None) -> list[str]:
+    """Columns whose values have to be counted before a fit: those with modes and levels, and numbers that may be identifiers by their name.
+
+    All other numbers, booleans and times have their role by type, and nothing else is read off their counts.
+    """
+    hinted = lambda f: roles is None and is_number(f.dataType) and any(h in f.name.lower() for h in IDENTIFIER_HINTS)
+    typed = lambda f: is_number(f.dataType) or is_bool(f.dataType) or is_datetime(f.dataType)
+    return [f.name for f in df.schema if f.name != target and (hinted(f) or not typed(f))]
+
+
 def numeric_stats(
     df: DataFrame, columns: Sequence[str], method: str = "exact"
 ) -> dict[str, tuple[float, float, float]]:
@@ -91,10 +101,12 @@ def _string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _indexer(df: DataFrame, strings: list[str], counts: DataFrame, levels: list[str], prepare: Transformer) -> list[Transformer]:
-    """Numbers for the levels of each string column in alphabetical order, the unseen last."""
+def _indexer(
+    df: DataFrame, counted: list[str], strings: list[str], counts: DataFrame, levels: list[str], prepare: Transformer
+) -> list[Transformer]:
+    """Numbers for the levels of each string column in alphabetical order, the unseen last. ``counts`` are of the columns ``counted``."""
     outputs = [f"{c}i" for c in levels]
-    places = [df.columns.index(c) for c in strings]
+    places = [counted.index(c) for c in strings]
     held = counts.filter(F.col("position").isin(places) & F.col("text").isNotNull())
     plain = all(isinstance(df.schema[c].dataType, T.StringType) for c in strings)
     if not plain or not held.filter("digest is not null").isEmpty():
@@ -118,13 +130,18 @@ def fit_preprocessor(
     """
     if "features" in df.columns:
         raise ValueError("a column named features is in the way of the feature vector: rename it")
-    counts = cut_lineage(value_counts(df), "value_counts")
-    used = [c for c in model_columns(df, target, roles, counts) if c != target]
+    listed = counted_columns(df, target, roles or None)
+    held = df.select(*[F.col(quoted(c)) for c in listed])
+    counts = cut_lineage(value_counts(held), "value_counts") if listed else None
+    if not roles:
+        by_type = {f.name: "datetime" if is_datetime(f.dataType) else "categorical" if is_bool(f.dataType) else "numeric" for f in df.schema}
+        roles = by_type | (infer_roles(held, counts=counts) if listed else {})
+    used = [c for c in model_columns(df, target, roles) if c != target]
     types = {c: df.schema[c].dataType for c in used}
     numeric = [c for c in used if is_number(types[c]) or is_bool(types[c])]
     strings = [c for c in used if c not in numeric and not is_datetime(types[c])]
     stats = numeric_stats(df, numeric, method)
-    fills = modes(df, strings, counts)
+    fills = modes(held, strings, counts)
     numeric = [c for c in numeric if c in stats]
     strings = [c for c in strings if c in fills]
     if not numeric and not strings:
@@ -142,7 +159,7 @@ def fit_preprocessor(
     inputs = [f"_z{i}" for i in range(len(numeric))]
     if strings:
         levels = [f"_c{i}" for i in range(len(strings))]
-        indexers = _indexer(df, strings, counts, levels, prepare)
+        indexers = _indexer(df, held.columns, strings, counts, levels, prepare)
         # "keep" adds a last level for the unseen, which dropLast then leaves out.
         encoder = OneHotEncoder(
             inputCols=[f"{c}i" for c in levels], outputCols=[f"{c}v" for c in levels], dropLast=True

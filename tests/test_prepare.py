@@ -171,6 +171,20 @@ def test_preprocessing(spark):
         prep.fit_preprocessor(train.select(F.lit(None).cast("string").alias("e")), roles={"e": "categorical"})
 
 
+def test_only_levels_and_possible_identifiers_are_counted(spark, monkeypatch):
+    """Numbers, booleans and times have their role by type: a fit does not count their values."""
+    rows = [(i, i, i * 0.5, float(i % 7), i % 2 == 0, "ab"[i % 2], "c", i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "order_id int, number_x int, price double, y double, f boolean, c string, `d.e` string, size int")
+    df = df.withColumns({"day": F.lit("2024-01-01").cast("date"), "none": F.lit(None)})
+    seen = []
+    monkeypatch.setattr(prep, "value_counts", lambda t, f=prep.value_counts: seen.append(t.columns) or f(t))
+    fitted = prep.fit_preprocessor(df, "y")
+    assert (fitted.numeric, fitted.categorical) == (["price", "f", "size"], ["c", "d.e"])
+    assert seen == [["order_id", "number_x", "c", "d.e", "none"]]
+    numbers = prep.fit_preprocessor(df.select("price", "size", "y"), "y")
+    assert (numbers.numeric, numbers.categorical, len(seen)) == (["price", "size"], [], 1)
+
+
 def test_label_codes_follow_numeric_order(spark):
     df = spark.createDataFrame([(10,), (2,), (2,)], "y int")
     classes = prep.label_classes(df, "y")

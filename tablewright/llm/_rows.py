@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard  # noqa: F401 - for the operators here
 
 #: The stored row number. Callers' tables have no column of this name.
 PLACE = "__place"
@@ -38,11 +38,3 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         return cut_lineage(df, name)
     finally:
         conf.set(_CLEANUP, before)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a stage that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

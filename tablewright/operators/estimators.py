@@ -20,13 +20,14 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.mllib.common import _py2java as _py2java_old
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import boosting
 from .density import dbscan
 from .forest import ForestModel, fit_forest
 from .gram import NormalEquations
@@ -160,6 +161,7 @@ def build_estimator(model_name: str, s: Mapping, training: Training):
             elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0,
         )
     if model_name == "gradient_boosting_regressor":
+        # For deep trees and wide tables; others are fitted by ``fit_boosting``.
         return GBTRegressor(maxIter=s["n_estimators"], stepSize=s["learning_rate"], maxDepth=s["max_depth"], seed=SEED)
     if model_name == "agglomerative_clustering":
         return BisectingKMeans(k=s["n_clusters"], seed=SEED)
@@ -213,6 +215,28 @@ def fit_kmeans(s: Mapping, training: Training) -> Model:
     return model
 
 
+def fit_boosting(s: Mapping, training: Training) -> GBTRegressionModel:
+    """Boosted trees as an MLlib model; leaves keep the counts and means of their rows, not their spread."""
+    rounds, step, depth = int(s["n_estimators"]), float(s["learning_rate"]), int(s["max_depth"])
+    trees, cuts = boosting.fit_boosted(training.data, rows=training.rows, width=training.width, rounds=rounds, step=step, depth=depth)
+    sc = training.data.sparkSession.sparkContext
+    ml, doubles = sc._jvm.org.apache.spark.ml, lambda v: sc._gateway.new_array(sc._jvm.double, len(v))
+    filled = lambda v: [a := doubles(v), *(a.__setitem__(i, float(x)) for i, x in enumerate(v))][0]
+
+    def java(node: boosting.Node):
+        kept = sc._jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(filled([node.count, node.total, node.total * node.mean]), int(node.count))
+        if not node.children:
+            return ml.tree.LeafNode(node.mean, 0.0, kept)
+        split = ml.tree.ContinuousSplit(node.feature, float(cuts[node.feature][node.place]))
+        return ml.tree.InternalNode(node.mean, 0.0, node.gain, *map(java, node.children), split, kept)
+
+    made = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees))
+    for i, root in enumerate(trees):
+        made[i] = ml.regression.DecisionTreeRegressionModel(f"boosted{i}", java(root), training.width)
+    weights = filled([1.0, *[step] * (len(trees) - 1)])
+    return GBTRegressionModel(ml.regression.GBTRegressionModel("boosted", made, weights, training.width))
+
+
 @dataclass
 class NeighborModel:
     """K nearest neighbours: the training table is the model."""
@@ -262,6 +286,8 @@ def fit_model(task_type: str, model_name: str, params: Mapping | None, training:
         return fit_ridge(float(s["alpha"]), training)
     if model_name == "kmeans":
         return fit_kmeans(s, training)
+    if model_name == "gradient_boosting_regressor" and boosting.fits(training.width, int(s["max_depth"])):
+        return fit_boosting(s, training)
     return build_estimator(model_name, s, training).fit(training.data)
 
 

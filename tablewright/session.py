@@ -69,3 +69,15 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stage that nothing will read again."""
+    discard_files(df.sparkSession, df.inputFiles())
+
+
+def discard_files(spark: SparkSession, names: list[str]) -> None:
+    """Delete the folders of the files, which a cached table does not tell any more."""
+    for folder in {name.rpartition("/")[0] for name in names}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

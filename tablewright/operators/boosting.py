@@ -94,10 +94,12 @@ def _blocks(data: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
-                x = np.asarray(part.column("x").flatten(), np.float64).reshape(-1, width)
+                x, y = np.asarray(part.column("x").flatten(), np.float64).reshape(-1, width), np.asarray(part.column("label"), np.float64)
+                if not (np.isfinite(x).all() and np.isfinite(y).all()):
+                    raise ValueError("labels and features must be finite numbers")
                 bins = [np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]
                 held = [np.packbits(b.astype(bool)) if len(c) == 1 else b.astype(np.uint8) for b, c in zip(bins, cuts)]
-                yield _block(b"".join(b.tobytes() for b in held), np.asarray(part.column("label"), np.float64))
+                yield _block(b"".join(b.tobytes() for b in held), y)
 
     return data.select(vector_to_array("features").alias("x"), F.col("label").cast("double")).mapInArrow(pack, _BLOCKS)
 

@@ -57,9 +57,12 @@ def test_cuts_from_ranks(spark, monkeypatch):
     assert [len(c) for c in exact] == [31, 1, 4, 0] and len(ranked[0]) == 31 and abs(exact[0] - ranked[0]).max() < 40
 
 
-def test_equal_labels_and_saved_models(spark):
+def test_odd_labels_and_saved_models(spark):
     flat = numbers(spark, 50).withColumn("label", F.lit(3.0))
     assert set(told(fit_model("regression", NAME, {"n_estimators": 3}, Training(flat, 50)), flat)) == {3.0}
+    for odd in (None, float("nan")):
+        with pytest.raises(Exception, match="finite numbers"):
+            fit_model("regression", NAME, None, Training(flat.withColumn("label", F.when(F.col("row_id") == 9, F.lit(odd)).otherwise(3.0)), 50))
     df = cut_lineage(spark.range(200).select((F.col("id") % 17).cast("double").alias("a"), F.concat(F.lit("k"), F.col("id") % 3).alias("b"), (F.col("id") % 17 * 3).cast("double").alias("y")))
     model = fit_and_measure(prepare("regression", df, df, "y"), NAME, {"n_estimators": 5})
     again = load_fitted(spark, model.save(scratch_path(spark, "model")))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -544,6 +545,24 @@ def test_line_dedup_short_lines(spark):
     assert texts[3].split("\n") == ["---", "", "only 3"]
 
 
+def test_line_dedup_frees_shares(spark, monkeypatch):
+    """Described lines are merged a share at a time, and a share is gone before the next one is merged."""
+    data = [(i, f"{prose(i % 20, 12)}\n{prose(100 + i, 12)}") for i in range(60)]
+    shares, left = [], []
+    deal, real = line_dedup.dealt, line_dedup.discard
+
+    def dealt(*args):
+        found = deal(*args)
+        shares.extend(x.inputFiles() for x in found)
+        return found
+
+    monkeypatch.setattr(line_dedup, "dealt", dealt)
+    monkeypatch.setattr(line_dedup, "discard", lambda df: (real(df), left.append([os.path.exists(s[0].removeprefix("file://")) for s in shares])))
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got) == sorted(without_repeats(data))
+    assert len(shares) == line_dedup.SHARES and left[: len(shares)] == [[False] * (k + 1) + [True] * (len(shares) - k - 1) for k in range(len(shares))]
+
+
 def test_row_numbers_outlive_other_splits(spark):
     """Jobs that split the input differently, as with fewer cores, see the same row numbers."""
     data = [(i, f"{prose(i % 30, 40)}\n{prose(100 + i, 40)}" if i % 2 else prose(i % 30, 40)) for i in range(60)]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -13,56 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut_lineage
-from .cells import (
-    TILE_ROWS,
-    Cells,
-    SLACK,
-    Strips,
-    as_array,
-    as_stored,
-    assign,
-    build_cells,
-    choose_pivots,
-    exact_distances,
-    matrix,
-    pivot_count,
-    bound_distances,
-    rough_squares,
-    tile_join,
-    vector_key,
-)
-
-
-def _nearest_kernel(k: int):
-    """Per query of the block the ``k`` nearest points of the shard, no farther than ``limit`` where one is known."""
-
-    def kernel(a: np.ndarray, block: pd.DataFrame, b: np.ndarray, shard: pd.DataFrame, strips: Strips) -> pd.DataFrame:
-        limit = block["limit"].to_numpy(dtype=float) ** 2 if "limit" in block else np.full(len(a), np.inf)
-        limit = np.where(np.isnan(limit), np.inf, limit) * (1 + SLACK) + SLACK**2
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for rows, cols in strips:
-            x, y = a[rows], b[cols]
-            squares, error = rough_squares(x, y)
-            near = squares <= (limit[rows] + error)[:, None]
-            many = np.flatnonzero(np.count_nonzero(near, axis=1) > k)
-            if len(many):
-                # The k-th nearest bounds what else can count, here and in the strips to come.
-                kth = np.partition(squares[many], k - 1, axis=1)[:, k - 1] + 2 * error
-                limit[rows[many]] = np.minimum(limit[rows[many]], np.maximum(kth, 0.0) * (1 + SLACK) + SLACK**2)
-                near[many] = squares[many] <= (limit[rows[many]] + error)[:, None]
-            i, j = np.nonzero(near)
-            found.append((rows[i], cols[j], exact_distances(x, y, i, j)))
-        i, j, distance = (np.concatenate(c) for c in zip(*found))
-        # Equal distances are settled later by point id, so all of the k-th rank stay.
-        order = np.lexsort((distance, i))
-        i, j, distance = i[order], j[order], distance[order]
-        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
-        size = np.diff(np.r_[start, len(i)])
-        line = np.repeat(distance[np.minimum(start + k, start + size) - 1], size) if len(i) else distance
-        i, j, distance = (c[distance <= line] for c in (i, j, distance))
-        return pd.DataFrame({"qkey": block["id"].to_numpy()[i], "key": shard["id"].to_numpy()[j], "distance": distance})
-
-    return kernel
+from .boxes import PART_SAMPLE, SAMPLE_VALUES, box_join, build_parts, side_rows
+from .cells import TILE_ROWS, TILES, as_array, as_stored, choose_pivots, vector_key
 
 
 def knn_join(
@@ -81,8 +31,8 @@ def knn_join(
 
     Euclidean and exact; equal distances are ordered by point id. Equal vectors are
     merged on both sides first, so that a large group of copies is searched once. A
-    first round searches the query's own cell; the distance found bounds which other
-    cells a second round has to visit.
+    first round searches the part that the query falls in; the distance found bounds
+    which other parts a second round has to visit (``pivots``: how many there are).
     """
     keep = k + 1 if exclude_self else k
     tagged = points.select(
@@ -95,27 +45,23 @@ def knn_join(
     asked = queries.select(F.col(query_id).alias("qid"), as_stored(queries, vector).alias("v")).withColumn(
         "qkey", vector_key(F.col("v"))
     )
-    searched = asked.select(F.col("qkey").alias("id"), "v").dropDuplicates(["id"])
+    searched = cut_lineage(asked.select(F.col("qkey").alias("id"), "v").dropDuplicates(["id"]), "knn-queries")
 
-    chosen = choose_pivots(distinct, pivots or pivot_count(distinct.count()))
-    if not len(chosen):
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    if not size["n"]:
         raise ValueError("no points to search")
-    point_cells = assign(distinct, chosen)
-    cells = build_cells(point_cells, chosen, tile_rows)
-    query_cells = cut_lineage(assign(searched, chosen), "knn-queries")
-
-    kernel, schema = _nearest_kernel(keep), "qkey string, key string, distance double"
-    own = tile_join(query_cells, point_cells, cells, kernel, schema, F.lit(0.0), only_own=True)
-    if len(cells.rows) == 1:
+    most = min(max(size["n"] // TILES, tile_rows), side_rows(size["d"], tile_rows))
+    wanted = pivots or -(-size["n"] // most)
+    sample = choose_pivots(distinct, min(PART_SAMPLE * wanted, max(SAMPLE_VALUES // max(size["d"], 1), wanted)) if wanted > 1 else 1)
+    placed, parts = build_parts(distinct, sample, wanted, most)
+    own = box_join(searched, placed, parts, keep, tile_rows)
+    if len(parts.rows) == 1:
         found = own
     else:
         own = cut_lineage(own, "knn-own")
         rank = F.row_number().over(W.partitionBy("qkey").orderBy("distance", "key"))
         kth = own.withColumn("r", rank).filter(F.col("r") == keep).select(F.col("qkey").alias("id"), F.col("distance").alias("kth"))
-        bounded = query_cells.join(kth, "id", "left").withColumn("limit", F.least("kth", _cell_bound(cells, keep)("v")))
-        found = own.unionAll(
-            tile_join(bounded.drop("kth"), point_cells, cells, kernel, schema, F.col("limit"), others_only=True)
-        )
+        found = own.unionAll(box_join(searched.join(kth, "id", "left"), placed, parts, keep, tile_rows, F.col("kth")))
 
     # Nearest vectors per searched vector, with the copies of each, then cut to `keep`.
     near = F.row_number().over(W.partitionBy("qkey").orderBy("distance", "pid"))
@@ -144,25 +90,6 @@ def _cut_vectors(found: DataFrame, keep: int) -> DataFrame:
     return found.withColumn("r", rank).filter(F.col("r") <= keep).drop("r")
 
 
-def _cell_bound(cells: Cells, k: int):
-    """An upper bound of the k-th distance from cell radii and counts alone."""
-    numbers = np.array(sorted(cells.rows), dtype=np.int64)
-    pivots = cells.pivots[numbers % len(cells.pivots)]
-    radius = np.array([cells.radius[int(c)] for c in numbers])
-    rows = np.array([cells.rows[int(c)] for c in numbers])
-
-    @F.pandas_udf("double")
-    def bound(vectors: pd.Series) -> pd.Series:
-        far = bound_distances(matrix(vectors), pivots) + radius[None, :]
-        order = far.argsort(axis=1)
-        enough = rows[order].cumsum(axis=1) >= k
-        at = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
-        reach = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), at]
-        return pd.Series(np.where(enough.any(axis=1), reach, np.inf))
-
-    return bound
-
-
 def knn_join_approx(
     queries: DataFrame,
     points: DataFrame,

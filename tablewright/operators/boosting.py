@@ -87,8 +87,8 @@ def find_cuts(data: DataFrame, rows: int, width: int) -> list[np.ndarray]:
 
 
 def _blocks(data: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """Rows as blocks: the place of each value among the cuts of its feature, feature by feature, and the label."""
-    width = len(cuts)
+    """Rows as blocks: the place of each value among the cuts of its feature, feature by feature, those of two places eight to a byte; and the label."""
+    width, sizes = len(cuts), [len(c) + 1 for c in cuts]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +97,8 @@ def _blocks(data: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
                 x, y = np.asarray(part.column("x").flatten(), np.float64).reshape(-1, width), np.asarray(part.column("label"), np.float64)
                 if not (np.isfinite(x).all() and np.isfinite(y).all()):
                     raise ValueError("labels and features must be finite numbers")
-                bins = [np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]
-                held = [np.packbits(b.astype(bool)) if len(c) == 1 else b.astype(np.uint8) for b, c in zip(bins, cuts)]
+                held = [np.searchsorted(c, x[:, f], "left").astype(np.uint8) for f, c in enumerate(cuts) if len(c) > 1]
+                held += [np.packbits(np.stack([x[:, f] > cuts[f][0] for f in some], 1), axis=1) for some in _shared(sizes)]
                 yield _block(b"".join(b.tobytes() for b in held), y)
 
     return data.select(vector_to_array("features").alias("x"), F.col("label").cast("double")).mapInArrow(pack, _BLOCKS)
@@ -109,40 +109,57 @@ def _block(bins: bytes, rest: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(values, ["n", "bins", "rest"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[tuple[bytes, list[np.ndarray], np.ndarray]]:
-    """The packed places, the places of each feature, of which two are single bits in a block, and the residuals."""
+def _shared(sizes: list[int]) -> list[list[int]]:
+    """The features of two places, eight to a byte."""
+    two = [f for f, size in enumerate(sizes) if size == 2]
+    return [two[i : i + 8] for i in range(0, len(two), 8)]
+
+
+class _Places:
+    """The places of a block's rows: ``wide`` by feature, ``codes`` for eight features of two places each."""
+
+    def __init__(self, packed: bytes, n: int, sizes: list[int]) -> None:
+        held = np.frombuffer(packed, np.uint8).reshape(-1, n)
+        self.rows, wide = n, [f for f, size in enumerate(sizes) if size > 2]
+        self.wide, self.codes = dict(zip(wide, held)), held[len(wide) :]
+        self.bits = {f: (g, 128 >> k) for g, some in enumerate(_shared(sizes)) for k, f in enumerate(some)}
+
+    def above(self, f: int, place: int) -> np.ndarray:
+        if f in self.wide:
+            return self.wide[f] > place
+        g, bit = self.bits[f]
+        return (self.codes[g] & bit) > 0
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[tuple[bytes, _Places, np.ndarray]]:
+    """The packed places, the same by feature, and the residuals."""
     for batch in batches:
         for n, packed, rest in zip(*(batch.column(c) for c in ("n", "bins", "rest"))):
-            n, packed, bins, at = n.as_py(), packed.as_py(), [], 0
-            for size in sizes:
-                held = np.frombuffer(packed, np.uint8, (n + 7) // 8 if size == 2 else n, at)
-                bins.append(np.unpackbits(held, count=n) if size == 2 else held)
-                at += len(held)
-            yield packed, bins, np.frombuffer(rest.as_buffer())
-
-
-def _level_of(root: Node, bins: list[np.ndarray], depth: int) -> tuple[np.ndarray, list[Node]]:
-    """The number of the node that each row is in at ``depth``, or of the leaf before; and the nodes."""
-    at, nodes = np.zeros(len(bins[0]), np.uint16), [root]
-    for _ in range(depth):
-        moved, below = np.zeros_like(at), []
-        for k, node in enumerate(nodes):
-            here = at == k
-            if node.children:
-                moved += here * np.uint16(len(below))
-                moved += here & (bins[node.feature] > node.place)
-            else:
-                moved += here * np.uint16(len(below))
-            below += node.children or [node]
-        at, nodes = moved, below
-    return at, nodes
-
-
-def _less(rest: np.ndarray, bins: list[np.ndarray], trees: list[tuple[Node, float]], depth: int) -> np.ndarray:
+            packed = packed.as_py()
+            yield packed, _Places(packed, n.as_py(), sizes), np.frombuffer(rest.as_buffer())
+
+
+def _level_of(root: Node, bins: _Places, depth: int) -> tuple[np.ndarray, list[Node]]:
+    """The number of the node that each row is in at ``depth``, or of the leaf before; and the nodes, from left to right."""
+    nodes: list[Node] = []
+    kind = np.uint8 if depth <= 8 else np.uint16
+
+    def number(node: Node, left: int) -> np.ndarray | np.integer:
+        if not left or not node.children:
+            nodes.append(node)
+            return kind(len(nodes) - 1)
+        low, high = (number(c, left - 1) for c in node.children)
+        return low ^ ((low ^ high) & np.negative(bins.above(node.feature, node.place).astype(kind)))  # high or low, without branches
+
+    at = number(root, depth)
+    return np.broadcast_to(at, bins.rows) if at.ndim == 0 else at, nodes
+
+
+def _less(rest: np.ndarray, bins: _Places, trees: list[tuple[Node, float]], depth: int) -> np.ndarray:
     """``rest`` less the weighted predictions of the trees."""
     for root, weight in trees:
         at, nodes = _level_of(root, bins, depth)
-        rest = rest - weight * np.array([n.mean for n in nodes])[at]
+        rest = rest - (weight * np.array([n.mean for n in nodes]))[at]
     return rest
 
 
@@ -153,30 +170,35 @@ def _histograms(blocks: DataFrame, sizes: list[int], trees: list[tuple[Node, flo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = s = None
+        shared = _shared(sizes)
         for _, bins, rest in _unpacked(batches, sizes):
             rest = scale * _less(rest, bins, trees, depth)
-            at, nodes = (np.zeros(len(rest), np.uint16), [root]) if root is None else _level_of(root, bins, level)
+            at, nodes = (np.zeros(len(rest), np.uint8), [root]) if root is None else _level_of(root, bins, level)
             k = len(nodes)
             if n is None:
                 n, s = np.zeros((k, cells)), np.zeros((k, cells))
+                whole, codes = np.zeros((2, k)), np.zeros((2, len(shared), k, 256))
             node = at.astype(np.intp)
-            whole = np.bincount(node, minlength=k), np.bincount(node, rest, k)
-            wide = node * BINS
-            for f, size in enumerate(sizes):
+            whole += np.bincount(node, minlength=k), np.bincount(node, rest, k)
+            place, wide = np.empty_like(node), node * BINS
+            for f, held in bins.wide.items():
                 cols = slice(starts[f], starts[f + 1])
-                if size == 1:
-                    n[:, starts[f]] += whole[0]
-                    s[:, starts[f]] += whole[1]
-                elif size == 2:
-                    upper = np.flatnonzero(bins[f].view(bool))
-                    held = node[upper]
-                    high = np.bincount(held, minlength=k), np.bincount(held, rest[upper], k)
-                    n[:, cols] += np.stack([whole[0] - high[0], high[0]], 1)
-                    s[:, cols] += np.stack([whole[1] - high[1], high[1]], 1)
-                else:
-                    place = wide + bins[f]
-                    n[:, cols] += np.bincount(place, minlength=k * BINS).reshape(k, BINS)[:, :size]
-                    s[:, cols] += np.bincount(place, rest, k * BINS).reshape(k, BINS)[:, :size]
+                np.add(wide, held, out=place)
+                n[:, cols] += np.bincount(place, minlength=k * BINS).reshape(k, BINS)[:, : sizes[f]]
+                s[:, cols] += np.bincount(place, rest, k * BINS).reshape(k, BINS)[:, : sizes[f]]
+            wide = node * 256
+            for g, held in enumerate(bins.codes):
+                np.add(wide, held, out=place)
+                codes[0, g] += np.bincount(place, minlength=k * 256).reshape(k, 256)
+                codes[1, g] += np.bincount(place, rest, k * 256).reshape(k, 256)
+        if n is not None:
+            for out, all_rows, by_code in zip((n, s), whole, codes):
+                for f in np.flatnonzero(np.array(sizes) == 1).tolist():
+                    out[:, starts[f]] = all_rows
+                for some, held in zip(shared, by_code):
+                    for j, f in enumerate(some):
+                        high = held[:, (np.arange(256) & (128 >> j)) > 0].sum(axis=1)
+                        out[:, starts[f]], out[:, starts[f] + 1] = all_rows - high, high
         if n is not None:
             part = TaskContext.get().partitionId() // FAN_IN
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (n, s))], ["part", "n", "s"])

@@ -47,3 +47,10 @@ def test_codes_of_shared_features():
     for f, (g, inner) in data.member.items():
         assert np.array_equal(inner[data.codes[g]], x[:, f] == x[:, f].max())
         assert len(inner) <= trees.PATTERNS
+
+
+def test_labels_that_are_no_numbers_fail():
+    x = table(300, 5)
+    y = np.where(np.arange(300) == 7, np.nan, np.arange(300.0))
+    with pytest.raises(ValueError, match="finite"):
+        trees.grow(trees.Sorted(x), y, y[None], np.ones(300, int))
